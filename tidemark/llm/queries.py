@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, packing, sharding, url_filter
+from . import host_rules, packing, sharding, simhash, url_filter
 
-QUERIES = {f.__name__: f for f in (packing.op1_cost_balanced_packing, url_filter.op3_url_filter_cascade, sharding.op5_hilbert_shards, host_rules.op6_host_rules)}
+QUERIES = {f.__name__: f for f in (packing.op1_cost_balanced_packing, url_filter.op3_url_filter_cascade, sharding.op5_hilbert_shards, host_rules.op6_host_rules, simhash.op9_simhash_trie)}
 ORACLE_SQL = {"op3_url_filter_cascade": url_filter.OP3_SQL, "op6_host_rules": host_rules.OP6_SQL}
