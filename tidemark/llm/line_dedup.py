@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import read, table
 
@@ -148,7 +149,7 @@ def without_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
     names = docs.columns
     at = names.index("text")
-    schema = docs.schema.add("_lines", "array<struct<at: int, h: long>>").add("_deleted", "int")
+    schema = StructType([*docs.schema.fields, *joined.select("_lines").schema.fields, StructField("_deleted", IntegerType())])
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
