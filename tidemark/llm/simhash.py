@@ -13,21 +13,23 @@ subtree. Groups hold distinct fingerprints only. A task turns the links of a
 subtree into a spanning forest at once, so what is sent on has fewer rows than came
 in; no link between different fingerprints is lost to the components.
 
-`near_duplicates` is the general form, for a similarity over shingles: 256-bit
-fingerprints, linked when their bits differ in at most `max_differing(similarity)`.
-That budget is too wide for one trie, so a number of tables each project the
-fingerprint on a few bits drawn at random, the tries of the projections are joined
-with a budget of two, and a pair met there is linked by its whole fingerprints. The
-number of bits grows with the logarithm of the documents, and the number of tables
-follows, so that a pair at the similarity meets in some table with 99 %.
+`near_duplicates` is the general form, for a similarity (Jaccard) over sets of shingles:
+256-bit fingerprints, candidates when their bits differ in at most
+`max_differing(similarity)`. That budget is too wide for one trie, so a number of tables
+each project the fingerprint on a few bits drawn at random, the tries of the projections
+are joined with a budget of two, and a pair met there is held against its whole
+fingerprints. The number of bits grows with the logarithm of the documents, and the
+number of tables follows, so that a pair at the similarity meets in some table with 99 %.
+Of each group of candidates go on a spanning forest and every text's nearest partner, at most twice
+as many pairs as texts; these are checked exactly, by their sets of shingles.
 
 Groups larger than `GROUP` rows are dealt out again as pairs of salted parts, each
 part against each, so no task holds an unbounded group and no pair is skipped.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any
 other; fewer words than a shingle has make one shingle of them all; equal texts share
-a fingerprint; rows that repeat a doc_id are one node; an empty table gives no rows;
-other columns pass `near_duplicates` unchanged.
+a fingerprint; rows that repeat a doc_id are one node; a null doc_id is in no component; an empty table gives no rows;
+other columns pass `keep_one_of_each` unchanged.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read, small, table, text_of
+from .common import ascii_lower, read, record_batch, small, table, text_of
 from .components import components
 
 #: Fingerprints that one task joins in one group at most; larger groups are dealt out as pairs of parts.
@@ -49,6 +51,8 @@ GROUP = 50_000
 #: A trie node with at most this many fingerprints is compared directly.
 LEAF = 48
 WIDE = 4
+#: Shingles in one Arrow batch, but for a longer text.
+SET_ROWS = 200_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -74,8 +78,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """256 bits: the hashes and three mixtures of them."""
-    out = []
+    """256 bits over the set of hashes: four mixtures of them."""
+    out, hashes = [], np.unique(hashes)
     with np.errstate(over="ignore"):
         for i in range(WIDE):
             x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
@@ -96,20 +100,34 @@ class Forest:
             x = up[x]
         return x
 
-    def link(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
+    def link(self, i: int, j: int) -> None:
+        x, y = self.root(i), self.root(j)
         if x != y:
             self.up[max(x, y)] = min(x, y)
-            self.edges.append((min(x, y), max(x, y)))
+            self.edges.append((min(i, j), max(i, j)))
+
+    def link_all(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Links of pairs; those within a tree are dropped together, so dense groups cost a step for each tree, not for each link."""
+        while len(x):
+            places = np.unique(np.concatenate([x, y]))
+            roots = np.array([self.root(i) for i in places.tolist()])
+            of = roots[np.searchsorted(places, x)], roots[np.searchsorted(places, y)]
+            apart = of[0] != of[1]
+            x, y, rx = x[apart], y[apart], np.maximum(of[0], of[1])[apart]
+            _, first = np.unique(rx, return_index=True)
+            for i, j in zip(x[first].tolist(), y[first].tolist(), strict=True):
+                self.link(i, j)
 
 
 def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | None = None, limit: int = 0, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest, as pairs of places, of the links among sorted ``keys`` (uint64).
 
     Linked: at most ``budget`` of the low ``bits`` bits differ and, if ``whole`` (n x m uint64) is
-    given, at most ``limit`` of its bits. With ``sides`` (booleans) only pairs across the sides count.
+    given, at most ``limit`` of its bits; each key's nearest partner by ``whole`` is then among the pairs too.
+    With ``sides`` (booleans) only pairs across the sides count.
     """
     forest = Forest(len(keys))
+    nearest = np.full(len(keys), np.iinfo(np.int64).max)  # distance and place of the best partner so far
 
     def leaf(a: slice, b: slice) -> None:
         near = np.bitwise_count(keys[a, None] ^ keys[None, b]) <= budget
@@ -120,10 +138,12 @@ def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | Non
         x, y = np.nonzero(near)
         x, y = x + a.start, y + b.start
         if whole is not None and len(x):
-            far = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int64) > limit
-            x, y = x[~far], y[~far]
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            forest.link(i, j)
+            differ = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int64)
+            close = differ <= limit
+            x, y, differ = x[close], y[close], differ[close]
+            np.minimum.at(nearest, x, differ << 32 | y)
+            np.minimum.at(nearest, y, differ << 32 | x)
+        forest.link_all(x, y)
 
     def halves(lo: int, hi: int, bit: int) -> list[tuple[int, int]]:
         mid = lo + int(np.searchsorted((keys[lo:hi] >> np.uint64(bit)) & np.uint64(1), 1))
@@ -145,7 +165,11 @@ def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | Non
             for j in (0, 1):
                 if differ + (i != j) <= budget and not (a == b and i > j):
                     stack.append((left[i], right[j], bit - 1, differ + (i != j)))
-    return forest.edges
+    if whole is None:
+        return forest.edges
+    partner = nearest & 0xFFFFFFFF
+    own = [(i, int(partner[i])) for i in np.flatnonzero(nearest != np.iinfo(np.int64).max).tolist()]
+    return sorted({(min(e), max(e)) for e in [*forest.edges, *own]})
 
 
 def group_links(bits: int, budget: int, limit: int = 0):
@@ -245,11 +269,12 @@ def simhash_components(docs: DataFrame, words: int = 3, budget: int = 2) -> Data
     if not 0 <= budget <= 2:
         raise ValueError("three parts hold for a budget of two at most")
     fps = table(fingerprints(docs, words))
-    nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = table(fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")))
     rows = nodes.select(F.explode(trie_keys(F.col("fp"))).alias("key"), "node", F.col("fp").alias("proj"))
     found = components(linked(rows, 64, budget))
     known = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(known, "fp")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return fps.join(known, "fp", "left").select("doc_id", "fp", own)
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +283,9 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def max_differing(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Bits that differ in a pair of the similarity (Jaccard) at most, but for one pair in six."""
+    """Bits that differ in a pair of the similarity at most, but for one pair in a hundred."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + 2.33 * math.sqrt(bits * p * (1 - p)))
 
 
 def tables_for(rows: int, similarity: float) -> tuple[int, int]:
@@ -271,15 +296,45 @@ def tables_for(rows: int, similarity: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(0.01) / math.log(1 - meets))
 
 
+def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts' sets of shingles have the similarity. ``texts``: node and text, once each.
+
+    Only the texts that edges name are hashed again; a text that many edges name is a
+    hot key of a plain join, which adaptive execution splits.
+    """
+
+    def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
+        held, size = [], 0
+        for batch in source:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append((node, np.unique(shingle_hashes(text.as_py(), words)).view(np.int64)))
+                size += len(held[-1][1])
+                if size >= SET_ROWS:
+                    yield record_batch(held, schema)
+                    held, size = [], 0
+        if held:
+            yield record_batch(held, schema)
+
+    named = table(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct())
+    own = texts.join(small(named, 16), "node", "left_semi").mapInArrow(sets, "node long, s array<long>")
+    own = table(own)
+    met = edges.join(own.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    # texts without words are equal
+    return met.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of the documents that are in a group of two or more."""
+    """(doc_id, component_id) of the documents that are in a group of two or more and aren't its first."""
     limit = max_differing(similarity)
 
     def wide(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "whole"])
 
-    fps = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()).mapInArrow(wide, "doc_id long, whole binary"))
+    known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    fps = table(known.mapInArrow(wide, "doc_id long, whole binary"))
     nodes = table(fps.groupBy("whole").agg(F.min("doc_id").alias("node")))
     bits, tables = tables_for(nodes.count(), similarity)
     rng = np.random.default_rng(42)
@@ -298,10 +353,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                         yield pa.RecordBatch.from_arrays([pa.array((3 * t + i) << 24 | value), part.column(0), pa.array(proj), part.column(1)], ["key", "node", "proj", "whole"])
 
     rows = nodes.select("node", "whole").mapInArrow(projected, "key long, node long, proj long, whole binary")
-    found = components(linked(rows, bits, 2, limit))
+    candidates = table(linked(rows, bits, 2, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = components(verified(candidates, known.withColumnRenamed("doc_id", "node"), words, similarity))
     copies = fps.join(nodes, "whole").select("doc_id", "node")
-    known = copies.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    return known.filter(F.col("doc_id") != F.col("component_id")).distinct()
+    placed = copies.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    return placed.filter(F.col("doc_id") != F.col("component_id")).distinct()
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
