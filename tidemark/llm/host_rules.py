@@ -2,8 +2,8 @@ r"""Operator 6 [native]: quality rules with host-level verdicts.
 
 Each document is measured (words, symbols, repeated lines, repeated three-word
 windows) and tested against rules. Failures are counted by host; a host's failure
-rate is shrunk towards the corpus's with a beta prior fitted to the hosts' rates by
-moments, so small hosts aren't judged on a few documents. A document goes if the
+rate is shrunk towards the corpus's with a beta prior fitted by the moments of the
+beta-binomial distribution and worth `MIN_WEIGHT` documents at least, so hosts aren't judged on a few documents. A document goes if the
 base rules fail, if two or more of the rules fail, or if one fails and its host's
 shrunken rate is over ``max_rate``. A document that fails no rule is always kept.
 
@@ -27,6 +27,8 @@ from .common import read, small, table, text_of
 MIN_WORDS = 50
 #: A host is rejected when its shrunken failure rate is over this.
 MAX_RATE = 0.5
+#: The prior counts as so many documents, at least and at most.
+MIN_WEIGHT, MAX_WEIGHT = 10.0, 1e6
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Rules of one document; base_failed is one more.
@@ -53,16 +55,28 @@ def measured(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines")
 
 
+def prior_weight(hosts: int, rows: float | None, mean: float, squares: float | None, spread: float | None) -> float:
+    """alpha + beta of the hosts' beta prior. ``squares``: sum of n^2, ``spread``: sum of k^2 / n over the hosts.
+
+    The spread of the rates beyond what chance gives hosts of these sizes, as a share of the
+    most that it could be, is 1 / (1 + alpha + beta).
+    """
+    if not 0 < mean < 1:
+        return MAX_WEIGHT
+    room = rows - squares / rows - (hosts - 1)
+    share = ((spread - mean * mean * rows) / (mean * (1 - mean)) - (hosts - 1)) / room if room > 0 else 0.0
+    return min(MAX_WEIGHT, max(MIN_WEIGHT, 1 / share - 1)) if share > 0 else MAX_WEIGHT
+
+
 def judged(measures: DataFrame, host: str, max_rate: float = MAX_RATE) -> DataFrame:
     """A written table of measures with base_failed, failures, host_rate and kept."""
     failures = F.expr(" + ".join(f"CAST({rule} AS INT)" for rule in [BASE_FAILED, *(f"({r})" for r in RULES.values())]))
     df = measures.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("failures", failures).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
     hosts = table(df.groupBy("_host").agg(F.count("*").alias("_n"), F.sum((F.col("failures") > 0).cast("long")).alias("_k")))
-    rate = F.col("_k") / F.col("_n")
-    mean, var = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    mean = mean or 0.0
-    # alpha + beta of the prior with the hosts' mean and variance, held between 1 and 1e6 pseudo-documents
-    weight = min(1e6, max(1.0, mean * (1 - mean) / var - 1)) if var else 1e6
+    n, k = F.col("_n").cast("double"), F.col("_k").cast("double")
+    count, rows, failed, squares, spread = hosts.agg(F.count("*"), F.sum(n), F.sum(k), F.sum(n * n), F.sum(k * k / n)).first()
+    mean = failed / rows if rows else 0.0
+    weight = prior_weight(count, rows, mean, squares, spread)
     shrunken = (F.col("_k") + F.lit(weight * mean)) / (F.col("_n") + F.lit(weight))
     rates = hosts.select("_host", shrunken.alias("host_rate"))
     out = df.join(small(rates, 128), "_host").drop("_host")
@@ -85,14 +99,16 @@ _FAILS = " + ".join(f"CAST(({r}) AS INT)" for r in [BASE_FAILED, *RULES.values()
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-g AS (SELECT doc_id, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-dup AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1),
-rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g JOIN dup USING (doc_id, g), (VALUES (0), (1), (2)) AS t(o) GROUP BY doc_id),
+t3 AS (SELECT doc_id, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+dup AS (SELECT doc_id, g FROM t3 GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM t3 JOIN dup USING (doc_id, g), (VALUES (0), (1), (2)) AS t(o) GROUP BY doc_id),
 m AS (SELECT doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM w LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, {BASE_FAILED} AS base_failed, {_FAILS} AS failures FROM m),
-h AS (SELECT host, count(*) AS n, sum((failures > 0)::INT) AS k FROM f GROUP BY host),
-p AS (SELECT avg(k / n) AS mean, CASE WHEN var_pop(k / n) > 0 THEN least(1e6, greatest(1.0, avg(k / n) * (1 - avg(k / n)) / var_pop(k / n) - 1)) ELSE 1e6 END AS weight FROM h)
+h AS (SELECT host, count(*)::DOUBLE AS n, sum((failures > 0)::INT)::DOUBLE AS k FROM f GROUP BY host),
+s AS (SELECT count(*) AS hosts, sum(n) AS r, sum(k) / sum(n) AS mean, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room, sum(k * k / n) AS spread FROM h),
+g AS (SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND room > 0 THEN ((spread - mean * mean * r) / (mean * (1 - mean)) - (hosts - 1)) / room ELSE 0 END AS share FROM s),
+p AS (SELECT mean, CASE WHEN share > 0 THEN least({MAX_WEIGHT}, greatest({MIN_WEIGHT}, 1 / share - 1)) ELSE {MAX_WEIGHT} END AS weight FROM g)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (failures >= 2 OR (failures = 1 AND (k + weight * mean) / (n + weight) > {MAX_RATE})) AS kept
 FROM f JOIN h USING (host), p
