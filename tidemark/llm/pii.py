@@ -55,7 +55,7 @@ CUES = {
 }
 SECRET = r"(?i)(?:token|key|secret|password|id)\s*[=:]\s*[\x22\x27]?$"
 FORMAT = {
-    "email": r"\.(?:com|net|org|edu|gov|io|de|fr|es|uk|eu|info)$",
+    "email": r"(?i)(?:\.|dot\x20?[\])]\x20?)(?:com|net|org|edu|gov|io|de|fr|es|uk|eu|info)$",
     "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])[.\[]",
     "card": r"^[3-6]",
     "phone": r"^\+?(?:[^0-9]*[0-9]){10,13}[^0-9]*$",
@@ -107,7 +107,8 @@ def spans(docs: DataFrame) -> DataFrame:
         return f"transform({side}_{kind}, x -> named_struct('kind', {KINDS.index(kind)}, 's', x.s, 'e', x.e, 'pattern', {votes}))"
 
     base = ", ".join(voted(k, "b", 1) for k in KINDS)
-    wide = ", ".join(voted(k, "c", 0) for k in KINDS)
+    # the base pattern has no say on other forms; what failed its check it votes against
+    wide = ", ".join(voted(k, "c", 0 if k == "card" else 2) for k in KINDS)
     return df.select("doc_id", F.expr(f"concat({base})").alias("base"), F.expr(f"concat({wide})").alias("wide"))
 
 
@@ -162,7 +163,7 @@ def accepted_patterns(found: DataFrame) -> dict[int, list[str]]:
             score = lambda p, w=weights: w[0] + sum(a * {"1": 1, "0": -1, "2": 0}[v] for a, v in zip(w[1:], p, strict=True))
             bar = math.log(ACCEPT / (1 - ACCEPT))
             # a candidate needs votes besides the classifier's bias: at least two labelers for it and no secret
-            out[kind] = [p for p in counts if p[0] == "0" and p.count("1") >= 2 and p[-1] != "0" and score(p) > bar]
+            out[kind] = [p for p in counts if p[0] != "1" and p.count("1") >= 2 and p[-1] != "0" and score(p) > bar]
     return out
 
 
