@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import read, table
+from .common import read, table, unused
 
 #: Words of an aligned block that is deleted, at least.
 MIN_WORDS = 40
@@ -143,17 +143,17 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return table(each.groupBy("doc_id").agg(F.collect_list("x").alias("lines")))
 
 
-def without_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text left after the deletions, and a column _deleted: how many lines went."""
-    gone = deletions(docs, min_words).withColumnRenamed("doc_id", "_id").withColumnRenamed("lines", "_lines")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
+def without_blocks(docs: DataFrame, min_words: int = MIN_WORDS, deleted: str = "_deleted") -> DataFrame:
+    """``docs`` with the text left after the deletions, and a column ``deleted``: how many lines went."""
     names = docs.columns
-    at = names.index("text")
-    schema = StructType([*docs.schema.fields, *joined.select("_lines").schema.fields, StructField("_deleted", IntegerType())])
+    at, id_, lines_ = names.index("text"), unused(names, "_id"), unused(names, "_lines")
+    gone = deletions(docs, min_words).withColumnsRenamed({"doc_id": id_, "lines": lines_})
+    joined = docs.join(gone, F.col("doc_id") == F.col(id_), "left").drop(id_)
+    schema = StructType([*docs.schema.fields, gone.schema[lines_], StructField(deleted, IntegerType())])
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            texts, deleted = batch.column(at).to_pylist(), [0] * batch.num_rows
+            texts, counts = batch.column(at).to_pylist(), [0] * batch.num_rows
             marks = batch.column(len(names))
             for row in np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 if texts[row] is None:
@@ -161,21 +161,22 @@ def without_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 drop = {(x["at"], x["h"]) for x in marks[row].as_py()}
                 hashes, lines = line_hashes(texts[row])[0], texts[row].split("\n")
                 keep = [line for i, (line, h) in enumerate(zip(lines, hashes, strict=True)) if (i, h) not in drop]
-                texts[row], deleted[row] = "\n".join(keep), len(lines) - len(keep)
+                texts[row], counts[row] = "\n".join(keep), len(lines) - len(keep)
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(deleted, pa.int32())], [*batch.schema.names, "_deleted"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*batch.schema.names, deleted])
 
-    out = joined.select(*names, "_lines").mapInArrow(cut, schema).drop("_lines")
+    out = joined.select(*names, lines_).mapInArrow(cut, schema).drop(lines_)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(deleted) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the blocks; documents of which nothing but white space is left go."""
-    out = without_blocks(docs, min_words)
-    return out.filter((F.col("_deleted") == 0) | F.col("text").rlike(r"\S")).drop("_deleted")
+    deleted = unused(docs.columns, "_deleted")
+    out = without_blocks(docs, min_words, deleted)
+    return out.filter((F.col(deleted) == 0) | F.col("text").rlike(r"\S")).drop(deleted)
 
 
 def op7_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
