@@ -19,7 +19,8 @@ in; no link between different fingerprints is lost to the components.
 each project the fingerprint on a few bits drawn at random, the tries of the projections
 are joined with a budget of two, and a pair met there is held against its whole
 fingerprints. The number of bits grows with the logarithm of the documents, and the
-number of tables follows, so that a pair at the similarity meets in some table with 99 %.
+number of tables follows, so that a pair at the similarity meets in some table but for one in
+a thousand.
 Of each group of candidates go on a spanning forest and every text's nearest partner, at most twice
 as many pairs as texts; these are checked exactly, by their sets of shingles.
 
@@ -289,11 +290,11 @@ def max_differing(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def tables_for(rows: int, similarity: float) -> tuple[int, int]:
-    """(bits of a projection, tables) so that a pair of the similarity meets in a table with 99 %."""
+    """(bits of a projection, tables) so that a pair of the similarity meets in a table but for one in a thousand."""
     bits = min(60, max(24, math.ceil(math.log2(max(2, rows))) + 6))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     meets = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(3))
-    return bits, math.ceil(math.log(0.01) / math.log(1 - meets))
+    return bits, math.ceil(math.log(0.001) / math.log(1 - meets))
 
 
 def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
