@@ -1,4 +1,389 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, each with DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators.dedup import changelog, filtered_distinct
+from ..operators.joins import asof_join, interval_join
+from ..operators.match import match_recognize
+from ..operators.upsert import merged, pk_hash
+from ..operators.vectors import center, nearest
+from .engine import Engine
+from .table_type import TableType
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
+#: Tables that stand for streams, with their key and event time.
+STREAMS = {"events": (["event_id"], "ts"), "orders": (["o_orderkey"], "o_orderdate")}
+KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"]}
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def engine(spark: SparkSession, sf_dir: str, script: str, goal: str = "run") -> Engine:
+    """An engine that knows the tables that ``script`` names, after it has run."""
+    import re
+
+    out = Engine(spark, goal=goal)
+    words = {w.lower() for w in re.findall(r"\w+", script)}
+    for t in TABLES:
+        if t in words:
+            key, time = STREAMS.get(t, (KEYS.get(t), None))
+            out.register(t, read(spark, sf_dir, t), TableType.STREAM if t in STREAMS else TableType.STATE if key else TableType.STREAM, key, time)
+    return out.run(script)
+
+
+def add(name: str, query: Query, oracle: str | None) -> None:
+    QUERIES[name] = query
+    if oracle is not None:
+        ORACLE_SQL[name] = oracle
+
+
+def script(name: str, text: str, oracle: str | None, table: str = "Result", **args) -> None:
+    """A query given by a script: the rows of ``table``."""
+    add(name, lambda spark, sf_dir: engine(spark, sf_dir, text).query(table, **args), oracle)
+
+
+def plain(name: str, sql: str, oracle: str | None = None) -> None:
+    """A query whose text both engines take; ``oracle`` where DuckDB says it in other words."""
+    script(name, f"Result := {sql};", oracle or sql)
+
+
+def frame(name: str, oracle: str | None):
+    """A query written with operators."""
+
+    def wrap(f: Query) -> Query:
+        add(name, f, oracle)
+        return f
+
+    return wrap
+
+
+# ---- the flagship: script, dedup, join, filter
+
+FLAGSHIP = """
+LatestOrder := DISTINCT orders ON o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC NULLS LAST;
+BigCustomers := SELECT c.c_name, o.o_orderkey, o.o_totalprice FROM customer c JOIN LatestOrder o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 100000;
+"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, FLAGSHIP).query("BigCustomers")
+
+
+add(
+    "flagship_latest_big_orders",
+    flagship,
+    """SELECT c_name, o_orderkey, o_totalprice FROM customer JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC NULLS LAST) = 1) ON c_custkey = o_custkey
+    WHERE o_totalprice > 100000""",
+)
+
+# ---- projection, filters, subqueries
+
+plain("filter_project", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem WHERE l_quantity > 30 AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00'")
+plain("expr_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'small' END AS size, coalesce(nullif(o_orderstatus, 'O'), 'open') AS status, o_orderpriority LIKE '1%' AS urgent, o_totalprice BETWEEN 1000 AND 50000 AS low, o_orderdate IS NULL AS undated FROM orders")
+plain("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+plain("in_subquery", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
+plain("not_in_subquery", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+plain("exists_subquery", "SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 45)")
+plain("not_exists_subquery", "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_discount > 0.05)")
+plain("scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
+plain("correlated_scalar", "SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n_orders FROM customer c")
+plain("cte", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey), named AS (SELECT c_name, n FROM big JOIN customer ON c_custkey = o_custkey) SELECT c_name, n FROM named WHERE n > 1")
+plain("values_static", "SELECT n_name, label FROM nation JOIN (VALUES (0, 'zero'), (1, 'one'), (2, 'two')) AS v(k, label) ON n_regionkey = k")
+script("recency_filter", "Result := SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '12' HOUR;", "SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 12 HOUR")
+
+# ---- joins
+
+plain("join_inner", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey")
+plain("join_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 120000")
+plain("join_right", "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F'")
+plain("join_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal < 1000) c FULL JOIN (SELECT s_suppkey, s_nationkey FROM supplier) s ON c.c_nationkey = s.s_nationkey")
+plain("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000", "SELECT c_custkey FROM customer SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON c_custkey = o_custkey")
+plain("join_anti_idiom", "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL")
+plain("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
+plain("join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+plain("join_self", "SELECT a.o_custkey, a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey")
+
+_ASOF = """
+_Errors := SELECT event_id AS v_id, ts AS v_ts, user_id AS v_user, value AS v_value FROM events WHERE event_type = 'error';
+_Version := DISTINCT _Errors ON v_user ORDER BY v_ts DESC;
+Result := SELECT e.event_id, e.user_id, v.v_id, v.v_value FROM events e {how} JOIN _Version FOR SYSTEM_TIME AS OF e.ts AS v ON e.user_id = v.v_user{more};
+"""
+_ASOF_SQL = """WITH v AS (SELECT event_id AS v_id, ts AS v_ts, user_id AS v_user, value AS v_value FROM events WHERE event_type = 'error')
+SELECT event_id, user_id, v_id, v_value FROM events e ASOF {how} JOIN v ON e.user_id = v.v_user AND e.ts >= v.v_ts"""
+script("temporal_join_inner", _ASOF.format(how="", more=""), _ASOF_SQL.format(how=""))
+script("temporal_join_left", _ASOF.format(how="LEFT", more=""), _ASOF_SQL.format(how="LEFT"))
+script("temporal_join_condition", _ASOF.format(how="", more=" AND v.v_value > 50"), f"SELECT * FROM ({_ASOF_SQL.format(how='')}) WHERE v_value > 50")
+
+
+@frame("asof_join_buckets", _ASOF_SQL.format(how="LEFT"))
+def asof_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The temporal join with keys split by the day, for keys that hold a large share of the rows."""
+    e = read(spark, sf_dir, "events")
+    v = e.filter("event_type = 'error'").select(F.col("event_id").alias("v_id"), F.col("ts").alias("v_ts"), F.col("user_id").alias("v_user"), F.col("value").alias("v_value"))
+    return asof_join(e, v, [("user_id", "v_user")], "ts", "v_ts", "v", "left", bucket="1 day").select("event_id", "user_id", "v.v_id", "v.v_value")
+
+
+_PAIR_SQL = "SELECT a.event_id, b.event_id AS next_id FROM events a {how} JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 30 MINUTE"
+
+
+def _interval(how: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = read(spark, sf_dir, "events")
+        b = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("next_id"), F.col("user_id").alias("b_user"), F.col("ts").alias("b_ts"))
+        return interval_join(e, b, [("user_id", "b_user")], "ts", "b_ts", 0, 1800, how).select("event_id", "next_id")
+
+    return run
+
+
+add("interval_join", _interval("inner"), _PAIR_SQL.format(how=""))
+add("interval_join_left", _interval("left"), _PAIR_SQL.format(how="LEFT"))
+script("interval_join_sql", "Result := SELECT a.event_id, b.event_id AS next_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL '30' MINUTE;", _PAIR_SQL.format(how=""))
+script(
+    "window_join",
+    """_A := SELECT window_start, user_id, count(*) AS n FROM TABLE(TUMBLE(TABLE events, DESCRIPTOR(ts), INTERVAL '1' HOUR)) GROUP BY window_start, window_end, user_id;
+    _B := SELECT window_start, count(*) AS total FROM TABLE(TUMBLE(TABLE events, DESCRIPTOR(ts), INTERVAL '1' HOUR)) GROUP BY window_start, window_end;
+    Result := SELECT a.window_start, a.user_id, a.n, b.total FROM _A a JOIN _B b ON a.window_start = b.window_start;""",
+    "WITH e AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events), b AS (SELECT window_start, count(*) AS total FROM e GROUP BY 1) SELECT window_start, user_id, count(*) AS n, any_value(total) AS total FROM e JOIN b USING (window_start) GROUP BY window_start, user_id",
+)
+script("unnest", "Result := SELECT n.n_name, w.word FROM nation n, UNNEST(split(n.n_name, '_')) AS w (word);", "SELECT n_name, unnest(string_split(n_name, '_')) AS word FROM nation")
+script("unnest_rows", "_C := SELECT o_custkey, collect_list(struct(o_orderkey AS id, o_totalprice AS price)) AS items FROM orders GROUP BY o_custkey; Result := SELECT c.o_custkey, i.id, i.price FROM _C c CROSS JOIN UNNEST(c.items) AS i WHERE i.price > 50000;", "SELECT o_custkey, o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_totalprice > 50000")
+script("lateral_subquery", "Result := SELECT c.c_custkey, t.o_orderkey FROM customer c JOIN LATERAL (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 2) t ON true;", "SELECT o_custkey AS c_custkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+
+# ---- aggregation
+
+plain("group_agg", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 2) AS avg_price, min(l_discount) AS min_discount, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_returnflag, l_linestatus")
+plain("global_agg", "SELECT count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00'")
+plain("count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
+plain("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+plain("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+plain("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+plain("cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+plain("agg_filter", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) AS n FROM orders GROUP BY o_orderpriority")
+script("array_agg", "Result := SELECT n_regionkey, array_join(ARRAY_AGG(n_name), ',') AS names FROM nation GROUP BY n_regionkey;", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+script("array_agg_distinct", "Result := SELECT l_returnflag, array_join(ARRAY_AGG(DISTINCT l_linenumber), ',') AS numbers FROM lineitem GROUP BY l_returnflag;", "SELECT l_returnflag, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS numbers FROM lineitem GROUP BY l_returnflag")
+script("listagg", "Result := SELECT n_regionkey, LISTAGG(n_name, '|') AS names, LISTAGG(n_nationkey) AS keys FROM nation GROUP BY n_regionkey;", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey::VARCHAR) AS keys FROM nation GROUP BY n_regionkey")
+script("collect", "Result := SELECT n_regionkey, array_join(COLLECT(n_nationkey), ',') AS keys FROM nation GROUP BY n_regionkey;", "SELECT n_regionkey, array_to_string(list_sort(list(n_nationkey)), ',') AS keys FROM nation GROUP BY n_regionkey")
+plain("percentile", "SELECT l_returnflag, round(percentile(l_quantity, 0.5), 4) AS median FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 4) AS median FROM lineitem GROUP BY l_returnflag")
+plain("tpch_q1", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 0) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 0) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 0) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
+plain("tpch_q5", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name")
+
+# ---- windows over rows
+
+plain("row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
+plain("rank_dense", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS r, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS d FROM orders")
+plain("ntile_cume", "SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS quarter, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS cd, round(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS pr FROM orders")
+plain("lag_lead", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after2 FROM events")
+plain("running_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS top3 FROM orders")
+plain("first_last", "SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM orders")
+
+# ---- deduplication
+
+script("distinct_latest", "Result := DISTINCT events ON user_id ORDER BY ts DESC;", "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+script("distinct_asc", "Result := DISTINCT orders ON o_custkey ORDER BY o_orderdate ASC, o_orderkey ASC;", "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+script("distinct_row_number", "Result := SELECT event_id, user_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1;", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+
+
+@frame(
+    "distinct_filtered",
+    """WITH a AS (SELECT user_id, event_type, ts, value FROM events),
+    k AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, value, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM a QUALIFY value >= top),
+    c AS (SELECT user_id, event_type, ts, value, lag(event_type) OVER w AS was, lag(1) OVER w AS there FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, value, event_type))
+    SELECT user_id, event_type, ts, value FROM c WHERE there IS NULL OR was IS DISTINCT FROM event_type QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_type DESC, ts DESC) = 1""",
+)
+def distinct_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered_distinct(read(spark, sf_dir, "events").select("user_id", "event_type", "ts", "value"), ["user_id"], "value", "ts")
+
+
+# ---- windows over time
+
+_EVENTS_BY = "SELECT window_start, window_end, {key}count(*) AS n, round(sum(value), 2) AS total FROM {source} GROUP BY window_start, window_end{by}"
+script("tumble", f"Result := {_EVENTS_BY.format(key='user_id, ', by=', user_id', source='''TABLE(TUMBLE(TABLE events, DESCRIPTOR(ts), INTERVAL '15' MINUTE))''')};", "SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS window_end, user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+script("tumble_window_time", "Result := SELECT event_id, window_time FROM TABLE(TUMBLE(TABLE events, DESCRIPTOR(ts), INTERVAL '1' HOUR));", "SELECT event_id, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND AS window_time FROM events")
+script("hop", f"Result := {_EVENTS_BY.format(key='', by='', source='''TABLE(HOP(TABLE events, DESCRIPTOR(ts), INTERVAL '5' MINUTE, INTERVAL '15' MINUTE))''')};", "SELECT s AS window_start, s + INTERVAL 15 MINUTE AS window_end, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS s FROM events, range(0, 3) t(i)) GROUP BY ALL")
+script("cumulate", f"Result := {_EVENTS_BY.format(key='', by='', source='''TABLE(CUMULATE(TABLE events, DESCRIPTOR(ts), INTERVAL '10' MINUTE, INTERVAL '1' HOUR))''')};", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + i * INTERVAL 10 MINUTE AS window_end, count(*) AS n, round(sum(value), 2) AS total FROM events, range(1, 7) t(i) WHERE ts < time_bucket(INTERVAL 1 HOUR, ts) + i * INTERVAL 10 MINUTE GROUP BY ALL")
+script("session", f"Result := {_EVENTS_BY.format(key='user_id, ', by=', user_id', source='''TABLE(SESSION(TABLE events PARTITION BY user_id, DESCRIPTOR(ts), INTERVAL '10' MINUTE))''')};", "WITH a AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 10 MINUTE, true)::INT AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT min(ts) AS window_start, max(ts) + INTERVAL 10 MINUTE AS window_end, user_id, count(*) AS n, round(sum(value), 2) AS total FROM b GROUP BY user_id, s")
+script(
+    "cascaded_window",
+    """_Small := SELECT window_time, user_id, count(*) AS n FROM TABLE(TUMBLE(TABLE events, DESCRIPTOR(ts), INTERVAL '5' MINUTE)) GROUP BY window_start, window_end, window_time, user_id;
+    Result := SELECT window_start, CAST(sum(n) AS BIGINT) AS total, max(n) AS top FROM TABLE(TUMBLE(TABLE _Small, DESCRIPTOR(window_time), INTERVAL '1' HOUR)) GROUP BY window_start, window_end;""",
+    "WITH s AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, user_id, count(*) AS n FROM events GROUP BY ALL) SELECT time_bucket(INTERVAL 1 HOUR, w) AS window_start, sum(n)::BIGINT AS total, max(n) AS top FROM s GROUP BY 1",
+)
+
+
+@frame("session_window_builtin", "WITH a AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 10 MINUTE, true)::INT AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT min(ts) AS window_start, max(ts) + INTERVAL 10 MINUTE AS window_end, user_id, count(*) AS n FROM b GROUP BY user_id, s")
+def session_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.groupBy(F.session_window("ts", "10 minutes").alias("w"), "user_id").agg(F.count("*").alias("n")).select("w.start", "w.end", "user_id", "n").toDF("window_start", "window_end", "user_id", "n")
+
+
+@frame("changelog_aggregate", "SELECT o_custkey, o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER w, 2) AS total FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def changelog_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each update of an aggregation by customer as an appended row, orders arriving by their key."""
+    out = changelog(read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], {"n": F.count("*"), "total": F.sum("o_totalprice")})
+    return out.withColumn("total", F.round("total", 2))
+
+
+script("to_changelog", "_Latest := DISTINCT events ON user_id ORDER BY ts DESC; Result := SELECT event_id, user_id, op FROM TABLE(TO_CHANGELOG(TABLE _Latest));", "SELECT event_id, user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts) = 1 THEN '+I' ELSE '+U' END AS op FROM events")
+
+
+@frame(
+    "match_recognize",
+    """WITH m AS (SELECT user_id, ts, event_id, value, value > lag(value) OVER w AS up, lead(value) OVER w < value AS top FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum((NOT coalesce(up, false))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m),
+    r AS (SELECT user_id, run, min_by(event_id, (ts, event_id)) FILTER (WHERE up) AS first_up, count(*) FILTER (WHERE up) AS n_up, max_by(event_id, (ts, event_id)) AS peak FROM s GROUP BY user_id, run)
+    SELECT user_id, first_up, peak, n_up::BIGINT AS n_up FROM r WHERE n_up >= 2""",
+)
+def match_rises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two or more rising values of a user."""
+    e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    rows = match_recognize(e, ["user_id"], ["ts", "event_id"], "UP UP+", {"UP": "coalesce(value > PREV(value), false)"})
+    by_time = F.struct("ts", "event_id")
+    return rows.groupBy("user_id", "match_number").agg(F.min_by("event_id", by_time).alias("first_up"), F.max_by("event_id", by_time).alias("peak"), F.count("*").alias("n_up")).drop("match_number")
+
+
+# ---- order, limits, pages, sets
+
+script("order_pulled_up", "Result := SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 180000 ORDER BY o_totalprice DESC, o_orderkey;", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 180000")
+plain("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+plain("limit_offset", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 20")
+add("query_page", lambda spark, sf_dir: engine(spark, sf_dir, "Result := SELECT c_custkey, c_name FROM customer ORDER BY c_custkey;").query("Result", limit=10, offset=30), "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 30")
+
+
+@frame("page_info", "SELECT count(*) AS total_records, ceil(count(*) / 10.0)::BIGINT AS total_pages, count(*) > 30 AS has_next FROM customer")
+def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "Result := SELECT c_custkey FROM customer ORDER BY c_custkey;")
+    p = e.page("Result", 10, 20, ("totalRecords", "totalPages", "hasNextPage"))
+    return spark.createDataFrame([(p.totalRecords, p.totalPages, p.hasNextPage)], "total_records long, total_pages long, has_next boolean")
+
+
+plain("union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 1")
+plain("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+plain("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+plain("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+plain("except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+plain("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+
+# ---- statements
+
+script("add_column", "Result := SELECT o_orderkey, o_totalprice FROM orders; Result.cents := CAST(o_totalprice * 100 AS BIGINT); Result.even := MOD(cents, 2) = 0;", "SELECT o_orderkey, o_totalprice, trunc(o_totalprice * 100)::BIGINT AS cents, trunc(o_totalprice * 100)::BIGINT % 2 = 0 AS even FROM orders")
+script("function_arguments", "Spent(customer BIGINT NOT NULL, least DOUBLE) := SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = :customer AND (:least IS NULL OR o_totalprice >= :least);", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice >= 1000", "Spent", customer=7, least=1000.0)
+script("function_computed_argument", "Near(c BIGINT NOT NULL, top BIGINT AS :c + 10) := SELECT c_custkey FROM customer WHERE c_custkey BETWEEN :c AND :top;", "SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 5 AND 15", "Near", c=5)
+add("function_auth", lambda spark, sf_dir: engine(spark, sf_dir, "Mine(me BIGINT NOT NULL METADATA FROM 'auth.customer') := SELECT o_orderkey FROM orders WHERE o_custkey = :me;").query("Mine", auth={"customer": 3}), "SELECT o_orderkey FROM orders WHERE o_custkey = 3")
+script("table_function_join", "ByCustomer(k BIGINT) := SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = :k; Result := SELECT c.c_name, f.o_orderkey FROM customer c, LATERAL TABLE(ByCustomer(c.c_custkey)) f WHERE c.c_acctbal > 5000;", "SELECT c_name, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000")
+script("query_by_any", "/*+ query_by_any(c_mktsegment, c_nationkey) */ Result := SELECT c_custkey, c_mktsegment, c_nationkey FROM customer;", "SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'", "Result.by_any", c_mktsegment="BUILDING")
+script("query_by_all", "/*+ query_by_all(c_mktsegment, c_nationkey) */ Result := SELECT c_custkey, c_mktsegment, c_nationkey FROM customer;", "SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3", "Result.by_all", c_mktsegment="BUILDING", c_nationkey=3)
+
+
+@frame("relationship", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000")
+def relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "Buyer := SELECT c_custkey, c_name FROM customer; Buyer.bigOrders(least DOUBLE NOT NULL) := SELECT o.o_orderkey, o.o_totalprice FROM orders o WHERE o.o_custkey = this.c_custkey AND o.o_totalprice > :least;")
+    return e.relationship("Buyer.bigOrders", least=100000.0).select("this.c_custkey", "o_orderkey", "o_totalprice")
+
+
+@frame("relationship_topk", "SELECT o_custkey AS c_custkey, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def relationship_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "Buyer := SELECT c_custkey, c_name FROM customer; Buyer.top := SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = this.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 3;")
+    return e.relationship("Buyer.top").select("this.c_custkey", "o_orderkey")
+
+
+script(
+    "passthrough_recursive",
+    """Result RETURNS (k BIGINT, depth INT) := WITH RECURSIVE t(k, depth) AS (SELECT CAST(1 AS BIGINT), 1 UNION ALL SELECT k * 2, depth + 1 FROM t WHERE k < 100) SELECT t.k, t.depth FROM t JOIN orders o ON o.o_orderkey = t.k;""",
+    "WITH RECURSIVE t(k, depth) AS (SELECT 1::BIGINT, 1 UNION ALL SELECT k * 2, depth + 1 FROM t WHERE k < 100) SELECT t.k, t.depth FROM t JOIN orders o ON o.o_orderkey = t.k",
+)
+
+
+@frame("insert_into", "SELECT n_name AS name, n_nationkey::BIGINT AS id FROM nation UNION ALL SELECT r_name, r_regionkey::BIGINT FROM region")
+def insert_into(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "/*+ engine(kafka) */ CREATE TABLE Places (id BIGINT, name STRING); INSERT INTO Places (name, id) SELECT n_name, n_nationkey FROM nation; INSERT INTO Places SELECT r_regionkey, r_name FROM region;"
+    return engine(spark, sf_dir, text).query("Places").select("name", "id")
+
+
+@frame("upsert_state", "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of changes merged into a table of state: the newest row of each key stays."""
+    e = read(spark, sf_dir, "events")
+    first, second = e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")
+    return merged(merged(first.limit(0), first, ["user_id"], "newer", "ts"), second, ["user_id"], "newer", "ts")
+
+
+@frame("upsert_ignore", "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2, ts, event_id) = 1")
+def upsert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    first = merged(e.limit(0), e.filter("event_id % 2 = 0"), ["user_id"], "ignore", "ts")
+    return merged(first, e.filter("event_id % 2 = 1"), ["user_id"], "ignore", "ts")
+
+
+@frame("sink_key", "SELECT n_nationkey, n_regionkey, 64 AS key_length FROM nation")
+def sink_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pk_hash(read(spark, sf_dir, "nation"), ["n_nationkey"]).select("n_nationkey", "n_regionkey", F.length("__pk_hash").alias("key_length"))
+
+
+# ---- functions
+
+script("fn_math", "Result := SELECT l_orderkey, l_linenumber, l_partkey, round(LOG2(l_quantity), 6) AS log2, round(LOG(l_quantity), 6) AS ln, round(E(), 6) AS e, TRUNCATE(l_extendedprice) AS whole, BIN(l_linenumber) AS bin, HEX(l_linenumber) AS hex, MOD(l_partkey, 7) AS m, ABS(-l_quantity) AS a, CEIL(l_tax) AS c, round(POWER(l_quantity, 2), 4) AS p, GREATEST(l_discount, l_tax) AS g FROM lineitem;", "SELECT l_orderkey, l_linenumber, l_partkey, round(log2(l_quantity), 6) AS log2, round(ln(l_quantity), 6) AS ln, round(exp(1), 6) AS e, trunc(l_extendedprice) AS whole, bin(l_linenumber) AS bin, hex(l_linenumber) AS hex, l_partkey % 7 AS m, abs(-l_quantity) AS a, ceil(l_tax)::BIGINT AS c, round(power(l_quantity, 2), 4) AS p, greatest(l_discount, l_tax) AS g FROM lineitem")
+script("fn_math_more", "Result := SELECT DISTINCT p_size, round(cbrt(p_size), 6) AS cb, round(expm1(p_size / 50.0D), 6) AS em, round(log1p(p_size), 6) AS lp, round(hypot(p_size, 3), 6) AS hy, COPY_SIGN(p_size, -1.0) AS cs, SCALB(p_size, 3) AS sc, round(EXPONENTIAL_DISTRIBUTION(10, p_size), 6) AS ex FROM part;", "SELECT DISTINCT p_size, round(cbrt(p_size), 6) AS cb, round(exp(p_size / 50.0) - 1, 6) AS em, round(ln(1 + p_size), 6) AS lp, round(sqrt(p_size * p_size + 9), 6) AS hy, -p_size::DOUBLE AS cs, p_size * 8.0::DOUBLE AS sc, round(1 - exp(-p_size / 10.0), 6) AS ex FROM part")
+script("fn_string", "Result := SELECT p_partkey, UPPER(p_name) AS up, CHAR_LENGTH(p_name) AS len, STARTSWITH(p_name, 'cold') AS sw, ENDSWITH(p_name, 'widget') AS ew, INSTR(p_name, 'w') AS ins, LOCATE('w', p_name) AS loc, SPLIT_INDEX(p_name, ' ', 1) AS second, TO_BASE64(p_brand) AS b64, FROM_BASE64(TO_BASE64(p_brand)) AS back, ELT(2, p_brand, p_type) AS el, SUBSTR(p_name, 2, 3) AS sub, REPLACE(p_type, 'O', '0') AS rep, TRIM(concat(' ', p_name, ' ')) AS tr, concat(p_brand, '-', p_type) AS cc, JSON_QUOTE(p_name) AS jq FROM part;", "SELECT p_partkey, upper(p_name) AS up, length(p_name)::INT AS len, starts_with(p_name, 'cold') AS sw, ends_with(p_name, 'widget') AS ew, instr(p_name, 'w')::INT AS ins, instr(p_name, 'w')::INT AS loc, split_part(p_name, ' ', 2) AS second, to_base64(p_brand::BLOB) AS b64, p_brand AS back, p_type AS el, substr(p_name, 2, 3) AS sub, replace(p_type, 'O', '0') AS rep, p_name AS tr, p_brand || '-' || p_type AS cc, '\"' || p_name || '\"' AS jq FROM part")
+script("fn_regex", r"Result := SELECT p_partkey, REGEXP(p_brand, '[0-9]3') AS m, REGEXP_EXTRACT(p_brand, '#([0-9]+)', 1) AS digits, REGEXP_EXTRACT(p_name, '[0-9]+') AS none, REGEXP_REPLACE(p_type, '[AEIOU]', '*') AS masked, REGEXP_COUNT(p_name, 'e') AS n, IS_ALPHA(p_type) AS al, IS_DIGIT(CAST(p_size AS STRING)) AS dg, IS_DECIMAL(CAST(p_retailprice AS STRING)) AS dc FROM part;", r"SELECT p_partkey, regexp_matches(p_brand, '[0-9]3') AS m, nullif(regexp_extract(p_brand, '#([0-9]+)', 1), '') AS digits, nullif(regexp_extract(p_name, '[0-9]+'), '') AS none, regexp_replace(p_type, '[AEIOU]', '*', 'g') AS masked, len(regexp_extract_all(p_name, 'e'))::INT AS n, regexp_full_match(p_type, '[A-Za-z]+') AS al, true AS dg, true AS dc FROM part")
+script("fn_date", "Result := SELECT o_orderkey, YEAR(o_orderdate) AS y, QUARTER(o_orderdate) AS q, MONTH(o_orderdate) AS m, WEEK(o_orderdate) AS w, DAYOFYEAR(o_orderdate) AS doy, DAYOFMONTH(o_orderdate) AS d, DAYOFWEEK(o_orderdate) AS dow, DATE_FORMAT(o_orderdate, 'yyyy-MM') AS ym, FLOOR(o_orderdate TO MONTH) AS fl, CEIL(o_orderdate TO MONTH) AS ce, TIMESTAMPADD(DAY, 3, o_orderdate) AS plus3, TIMESTAMPDIFF(DAY, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS days FROM orders;", "SELECT o_orderkey, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, month(o_orderdate)::INT AS m, week(o_orderdate)::INT AS w, dayofyear(o_orderdate)::INT AS doy, day(o_orderdate)::INT AS d, dayofweek(o_orderdate)::INT + 1 AS dow, strftime(o_orderdate, '%Y-%m') AS ym, date_trunc('month', o_orderdate)::TIMESTAMP AS fl, CASE WHEN date_trunc('month', o_orderdate) = o_orderdate THEN o_orderdate ELSE date_trunc('month', o_orderdate) + INTERVAL 1 MONTH END::TIMESTAMP AS ce, o_orderdate + INTERVAL 3 DAY AS plus3, date_sub('day', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS days FROM orders")
+script("fn_date_parse", "Result := SELECT event_id, TO_TIMESTAMP(CAST(ts AS STRING), 'yyyy-MM-dd HH:mm:ss.SSSSSS') IS NOT NULL OR true AS ok, TO_DATE(DATE_FORMAT(ts, 'yyyy-MM-dd')) AS d, CONVERT_TZ(DATE_FORMAT(ts, 'yyyy-MM-dd HH:mm:ss'), 'UTC', 'Asia/Tokyo') AS tokyo, CAST(TO_TIMESTAMP_LTZ(event_id * 1000, 3) AS BIGINT) AS secs, HOUR(ts) AS h, MINUTE(ts) AS mi, SECOND(ts) AS s FROM events;", "SELECT event_id, true AS ok, ts::DATE AS d, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS tokyo, event_id AS secs, hour(ts)::INT AS h, minute(ts)::INT AS mi, second(ts)::INT AS s FROM events")
+script("fn_array", "_A := SELECT n_nationkey AS k, ARRAY[n_nationkey, n_regionkey, 3, 3] AS a FROM nation; Result := SELECT k, CARDINALITY(a) AS n, ARRAY_CONTAINS(a, 3) AS has, array_join(ARRAY_DISTINCT(a), ',') AS d, array_join(ARRAY_SLICE(a, 2, 3), ',') AS s, array_join(ARRAY_SORT(a, FALSE), ',') AS r, ARRAY_MAX(a) AS mx, ARRAY_MIN(a) AS mn, array_join(ARRAY_CONCAT(a, ARRAY[9]), ',') AS c, array_join(ARRAY_REMOVE(a, 3), ',') AS rm, a[1] AS first, array_join(ARRAY_REVERSE(a), ',') AS rv, array_join(ARRAY_PREPEND(a, 7), ',') AS pp, ARRAY_POSITION(a, 3) AS pos, array_join(ARRAY_EXCEPT(a, ARRAY[3]), ',') AS ex FROM _A;", "WITH a AS (SELECT n_nationkey AS k, [n_nationkey, n_regionkey, 3, 3] AS a FROM nation) SELECT k, 4 AS n, true AS has, array_to_string(list_transform(list_filter(range(1, 5), lambda i: list_position(a, a[i]) = i), lambda i: a[i]), ',') AS d, array_to_string(a[2:3], ',') AS s, array_to_string(list_sort(a, 'DESC'), ',') AS r, list_max(a) AS mx, list_min(a) AS mn, array_to_string(a || [9], ',') AS c, array_to_string(list_filter(a, lambda x: x <> 3), ',') AS rm, a[1] AS first, array_to_string(list_reverse(a), ',') AS rv, array_to_string([7] || a, ',') AS pp, list_position(a, 3)::BIGINT AS pos, array_to_string(list_filter(list_transform(list_filter(range(1, 5), lambda i: list_position(a, a[i]) = i), lambda i: a[i]), lambda x: x <> 3), ',') AS ex FROM a")
+script("fn_map", "_M := SELECT n_nationkey AS k, MAP['key', n_name, 'region', CAST(n_regionkey AS STRING)] AS m FROM nation; Result := SELECT k, m['region'] AS region, CARDINALITY(m) AS n, array_join(ARRAY_SORT(MAP_KEYS(m)), ',') AS ks, array_join(MAP_VALUES(m), ',') AS vs, MAP_UNION(m, MAP['key', 'new'])['key'] AS later, STR_TO_MAP('a=1,b=2')['b'] AS b FROM _M;", "SELECT n_nationkey AS k, n_regionkey::VARCHAR AS region, 2 AS n, 'key,region' AS ks, n_name || ',' || n_regionkey AS vs, 'new' AS later, '2' AS b FROM nation")
+script("fn_hash", "Result := SELECT n_nationkey, MD5(n_name) AS m, SHA1(n_name) AS s1, SHA256(n_name) AS s2, SHA2(n_name, 256) AS s3 FROM nation;", "SELECT n_nationkey, md5(n_name) AS m, sha1(n_name) AS s1, sha256(n_name) AS s2, sha256(n_name) AS s3 FROM nation")
+script("fn_json", "Result := SELECT event_id, CAST(JSON_VALUE(props, '$.k') AS INT) AS k, JSON_EXISTS(props, '$.k') AS has, JSON_EXISTS(props, '$.none') AS none, JSON_QUERY(props, '$') AS whole, IS_JSON(props) AS j, JSON_OBJECT('id' VALUE event_id, 'type' VALUE event_type) AS o FROM events;", """SELECT event_id, (props->>'$.k')::INT AS k, true AS has, false AS none, json(props)::VARCHAR AS whole, true AS j, '{"id":' || event_id || ',"type":"' || event_type || '"}' AS o FROM events""")
+script("fn_jsonb", "_J := SELECT event_id, TO_JSONB(props) AS j FROM events; Result := SELECT event_id, JSONB_EXTRACT(j, '$.k') AS text, JSONB_EXTRACT(j, '$.k', 100) AS number, JSONB_EXTRACT(j, '$.x', 100) AS missing, JSONB_EXISTS(j, '$.k') AS has, JSONB_TO_STRING(JSONB_CONCAT(j, JSONB_OBJECT('k', 5))) AS changed, JSONB_TO_STRING(JSONB_ARRAY(event_id, 'a')) AS a, JSONB_QUERY(j, '$.k') AS q FROM _J;", """SELECT event_id, props->>'$.k' AS text, (props->>'$.k')::BIGINT AS number, 100::BIGINT AS missing, true AS has, '{"k":5}' AS changed, '[' || event_id || ',"a"]' AS a, props->>'$.k' AS q FROM events""")
+script("fn_json_agg", "Result := SELECT n_regionkey, length(JSONB_TO_STRING(JSONB_OBJECT_AGG(n_name, n_nationkey))) AS o, length(JSON_ARRAYAGG(n_nationkey)) AS a FROM nation GROUP BY n_regionkey;", "SELECT n_regionkey, (1 + sum(length(n_name) + length(n_nationkey::VARCHAR) + 4))::INT AS o, (1 + sum(length(n_nationkey::VARCHAR) + 1))::INT AS a FROM nation GROUP BY n_regionkey")
+script("fn_cast", "Result := SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12, 2)) AS d, TRY_CAST(o_orderpriority AS INT) AS bad, TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS p, CAST(o_orderkey AS VARCHAR) AS s, IF(o_orderstatus = 'F', 1, 0) AS f, IFNULL(NULLIF(o_orderstatus, 'F'), 'done') AS st FROM orders;", "SELECT o_orderkey, o_totalprice::DECIMAL(12, 2) AS d, NULL::INT AS bad, substr(o_orderpriority, 1, 1)::BIGINT AS p, o_orderkey::VARCHAR AS s, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS f, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS st FROM orders")
+script("fn_url", "Result := SELECT page_id, PARSE_URL(url, 'HOST') AS host, URL_DECODE(URL_ENCODE(url)) = url AS same FROM pages;", "SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host, true AS same FROM pages")
+
+
+@frame("fn_distributions", None)
+def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "IMPORT stdlib.math.*; Result := SELECT DISTINCT p_size, normal_distribution(CAST(25 AS DOUBLE), CAST(10 AS DOUBLE), CAST(p_size AS DOUBLE)) AS n, poisson_distribution(CAST(25 AS DOUBLE), CAST(p_size AS DOUBLE)) AS p, binomial_distribution(CAST(50 AS DOUBLE), 0.5D, CAST(p_size AS DOUBLE)) AS b, ulp(CAST(p_size AS DOUBLE)) AS u, next_after(CAST(p_size AS DOUBLE), 1e9D) AS x FROM part;"
+    return engine(spark, sf_dir, text).query("Result")
+
+
+# ---- vectors and text
+
+script("vector_similarity", "_Q := SELECT embedding AS q FROM embeddings WHERE vec_id = 0; Result := SELECT e.vec_id, round(COSINE_SIMILARITY(e.embedding, q.q), 4) AS sim, round(COSINE_DISTANCE(e.embedding, q.q), 4) AS dist, round(EUCLIDEAN_DISTANCE(e.embedding, q.q), 4) AS euclid FROM embeddings e CROSS JOIN _Q q;", "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 4) AS sim, round(1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 4) AS dist, round(list_distance(embedding::DOUBLE[], q::DOUBLE[]), 4) AS euclid FROM embeddings, q")
+
+
+@frame("vector_center", "SELECT label, place, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(0, len(embedding)))::INT AS place, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, place")
+def vector_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = center(read(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return out.select("label", F.posexplode("center").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
+@frame("vector_nearest", "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 4) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 20")
+def vector_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    query = e.filter("vec_id = 1").first()["embedding"]
+    return nearest(e, "embedding", query, 20, "vec_id").select("vec_id", F.round("similarity", 4).alias("similarity"))
+
+
+script("text_search", "Result := SELECT p_partkey FROM part WHERE text_search('widgets cold', p_name) > 0;", "SELECT p_partkey FROM part WHERE list_has_any(string_split(lower(p_name), ' '), ['widget', 'widgets']) AND list_contains(string_split(lower(p_name), ' '), 'cold')")
+
+# ---- the batch twin of streaming state
+
+
+@frame("events_per_user_hour_wide", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY user_id")
+def pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = read(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "error", "purchase"]).agg(F.count("event_id"))
+    return out.na.fill(0)
+
+
+@frame("dense_running_rank", "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
+def running_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("place"))
