@@ -78,6 +78,13 @@ def record_batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def each_list(column: pa.ListArray) -> Iterator[list]:
+    """The lists of numbers of a column without nulls, one at a time, so that a batch is never all Python objects."""
+    ends, values = column.offsets.to_numpy(), column.values
+    for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield values.slice(start, end - start).to_numpy(zero_copy_only=False).tolist()
+
+
 def ascii_lower(text: str | None) -> bytes:
     """UTF-8 with only A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower()

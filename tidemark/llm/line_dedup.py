@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import read, table, unused
+from .common import each_list, read, table, unused
 
 #: Words of an aligned block that is deleted, at least.
 MIN_WORDS = 40
@@ -118,12 +118,13 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in both], pa.list_(pa.int64())), pa.array([w for _, w in both], pa.list_(pa.int32()))], ["doc_id", "h", "w"])
 
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seqs = table(own.mapInArrow(hashed, "doc_id long, h array<long>, w array<int>").filter(F.size("h") > 0))
-    seqs = seqs.groupBy("doc_id").agg(F.min(F.struct("h", "w")).alias("x")).select("doc_id", "x.h", "x.w")
+    # what is joined below is written first, so that the joins' sides are plain shuffles, which adaptive execution splits at hot keys
+    seqs = own.mapInArrow(hashed, "doc_id long, h array<long>, w array<int>").filter(F.size("h") > 0)
+    seqs = table(seqs.groupBy("doc_id").agg(F.min(F.struct("h", "w")).alias("x")).select("doc_id", "x.h", "x.w"))
     lines = seqs.select("doc_id", F.explode(F.array_distinct("h")).alias("line")).filter(F.col("line") != 0)
-    first = lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
+    first = table(lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n"))
     pairs = table(lines.join(first, "line").filter(F.col("first") < F.col("doc_id")).select("doc_id", "first").distinct())
-    # both texts' hashes meet; a document that many link to is a hot key of this join, which adaptive execution splits
+    # both texts' hashes meet; a document that many link to is a hot key of the second join
     earlier = seqs.select(F.col("doc_id").alias("first"), F.col("h").alias("a"))
     later = seqs.select("doc_id", F.col("h").alias("b"), "w")
     met = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "a", "b", "w")
@@ -131,7 +132,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def aligned(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             ids, found = [], []
-            for doc_id, a, b, w in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc_id, a, b, w in zip(batch.column(0).to_pylist(), *(each_list(batch.column(i)) for i in (1, 2, 3)), strict=True):
                 if places := common_blocks(a, b, w, min_words):
                     ids.append(doc_id)
                     found.append([{"at": p, "h": b[p]} for p in places])
