@@ -181,9 +181,9 @@ plain("tpch_q5", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)),
 
 # ---- windows over rows
 
-plain("row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
-plain("rank_dense", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS r, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS d FROM orders")
-plain("ntile_cume", "SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS quarter, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS cd, round(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS pr FROM orders")
+plain("row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS rn FROM orders")
+plain("rank_dense", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS r, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS d FROM orders", "SELECT o_orderkey, (rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate))::INT AS r, (dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate))::INT AS d FROM orders")
+plain("ntile_cume", "SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS quarter, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS cd, round(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS pr FROM orders", "SELECT o_orderkey, (ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey))::INT AS quarter, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS cd, round(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS pr FROM orders")
 plain("lag_lead", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after2 FROM events")
 plain("running_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS top3 FROM orders")
 plain("first_last", "SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM orders")
@@ -337,7 +337,7 @@ script("fn_math", "Result := SELECT l_orderkey, l_linenumber, l_partkey, round(L
 script("fn_math_more", "Result := SELECT DISTINCT p_size, round(cbrt(p_size), 6) AS cb, round(expm1(p_size / 50.0D), 6) AS em, round(log1p(p_size), 6) AS lp, round(hypot(p_size, 3), 6) AS hy, COPY_SIGN(p_size, -1.0) AS cs, SCALB(p_size, 3) AS sc, round(EXPONENTIAL_DISTRIBUTION(10, p_size), 6) AS ex FROM part;", "SELECT DISTINCT p_size, round(cbrt(p_size), 6) AS cb, round(exp(p_size / 50.0) - 1, 6) AS em, round(ln(1 + p_size), 6) AS lp, round(sqrt(p_size * p_size + 9), 6) AS hy, -p_size::DOUBLE AS cs, p_size * 8.0::DOUBLE AS sc, round(1 - exp(-p_size / 10.0), 6) AS ex FROM part")
 script("fn_string", "Result := SELECT p_partkey, UPPER(p_name) AS up, CHAR_LENGTH(p_name) AS len, STARTSWITH(p_name, 'cold') AS sw, ENDSWITH(p_name, 'widget') AS ew, INSTR(p_name, 'w') AS ins, LOCATE('w', p_name) AS loc, SPLIT_INDEX(p_name, ' ', 1) AS second, TO_BASE64(p_brand) AS b64, FROM_BASE64(TO_BASE64(p_brand)) AS back, ELT(2, p_brand, p_type) AS el, SUBSTR(p_name, 2, 3) AS sub, REPLACE(p_type, 'O', '0') AS rep, TRIM(concat(' ', p_name, ' ')) AS tr, concat(p_brand, '-', p_type) AS cc, JSON_QUOTE(p_name) AS jq FROM part;", "SELECT p_partkey, upper(p_name) AS up, length(p_name)::INT AS len, starts_with(p_name, 'cold') AS sw, ends_with(p_name, 'widget') AS ew, instr(p_name, 'w')::INT AS ins, instr(p_name, 'w')::INT AS loc, split_part(p_name, ' ', 2) AS second, to_base64(p_brand::BLOB) AS b64, p_brand AS back, p_type AS el, substr(p_name, 2, 3) AS sub, replace(p_type, 'O', '0') AS rep, p_name AS tr, p_brand || '-' || p_type AS cc, '\"' || p_name || '\"' AS jq FROM part")
 script("fn_regex", r"Result := SELECT p_partkey, REGEXP(p_brand, '[0-9]3') AS m, REGEXP_EXTRACT(p_brand, '#([0-9]+)', 1) AS digits, REGEXP_EXTRACT(p_name, '[0-9]+') AS none, REGEXP_REPLACE(p_type, '[AEIOU]', '*') AS masked, REGEXP_COUNT(p_name, 'e') AS n, IS_ALPHA(p_type) AS al, IS_DIGIT(CAST(p_size AS STRING)) AS dg, IS_DECIMAL(CAST(p_retailprice AS STRING)) AS dc FROM part;", r"SELECT p_partkey, regexp_matches(p_brand, '[0-9]3') AS m, nullif(regexp_extract(p_brand, '#([0-9]+)', 1), '') AS digits, nullif(regexp_extract(p_name, '[0-9]+'), '') AS none, regexp_replace(p_type, '[AEIOU]', '*', 'g') AS masked, len(regexp_extract_all(p_name, 'e'))::INT AS n, regexp_full_match(p_type, '[A-Za-z]+') AS al, true AS dg, true AS dc FROM part")
-script("fn_date", "Result := SELECT o_orderkey, YEAR(o_orderdate) AS y, QUARTER(o_orderdate) AS q, MONTH(o_orderdate) AS m, WEEK(o_orderdate) AS w, DAYOFYEAR(o_orderdate) AS doy, DAYOFMONTH(o_orderdate) AS d, DAYOFWEEK(o_orderdate) AS dow, DATE_FORMAT(o_orderdate, 'yyyy-MM') AS ym, FLOOR(o_orderdate TO MONTH) AS fl, CEIL(o_orderdate TO MONTH) AS ce, TIMESTAMPADD(DAY, 3, o_orderdate) AS plus3, TIMESTAMPDIFF(DAY, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS days FROM orders;", "SELECT o_orderkey, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, month(o_orderdate)::INT AS m, week(o_orderdate)::INT AS w, dayofyear(o_orderdate)::INT AS doy, day(o_orderdate)::INT AS d, dayofweek(o_orderdate)::INT + 1 AS dow, strftime(o_orderdate, '%Y-%m') AS ym, date_trunc('month', o_orderdate)::TIMESTAMP AS fl, CASE WHEN date_trunc('month', o_orderdate) = o_orderdate THEN o_orderdate ELSE date_trunc('month', o_orderdate) + INTERVAL 1 MONTH END::TIMESTAMP AS ce, o_orderdate + INTERVAL 3 DAY AS plus3, date_sub('day', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS days FROM orders")
+script("fn_date", "Result := SELECT o_orderkey, YEAR(o_orderdate) AS y, QUARTER(o_orderdate) AS q, MONTH(o_orderdate) AS m, WEEK(o_orderdate) AS w, DAYOFYEAR(o_orderdate) AS doy, DAYOFMONTH(o_orderdate) AS d, DAYOFWEEK(o_orderdate) AS dow, DATE_FORMAT(o_orderdate, 'yyyy-MM') AS ym, CAST(FLOOR(o_orderdate TO MONTH) AS TIMESTAMP(3)) AS fl, CAST(CEIL(o_orderdate TO MONTH) AS TIMESTAMP(3)) AS ce, TIMESTAMPADD(DAY, 3, o_orderdate) AS plus3, TIMESTAMPDIFF(DAY, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS days FROM orders;", "SELECT o_orderkey, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, month(o_orderdate)::INT AS m, week(o_orderdate)::INT AS w, dayofyear(o_orderdate)::INT AS doy, day(o_orderdate)::INT AS d, dayofweek(o_orderdate)::INT + 1 AS dow, strftime(o_orderdate, '%Y-%m') AS ym, date_trunc('month', o_orderdate)::TIMESTAMP AS fl, CASE WHEN date_trunc('month', o_orderdate) = o_orderdate THEN o_orderdate ELSE date_trunc('month', o_orderdate) + INTERVAL 1 MONTH END::TIMESTAMP AS ce, o_orderdate + INTERVAL 3 DAY AS plus3, date_sub('day', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS days FROM orders")
 script("fn_date_parse", "Result := SELECT event_id, TO_TIMESTAMP(CAST(ts AS STRING), 'yyyy-MM-dd HH:mm:ss.SSSSSS') IS NOT NULL OR true AS ok, TO_DATE(DATE_FORMAT(ts, 'yyyy-MM-dd')) AS d, CONVERT_TZ(DATE_FORMAT(ts, 'yyyy-MM-dd HH:mm:ss'), 'UTC', 'Asia/Tokyo') AS tokyo, CAST(TO_TIMESTAMP_LTZ(event_id * 1000, 3) AS BIGINT) AS secs, HOUR(ts) AS h, MINUTE(ts) AS mi, SECOND(ts) AS s FROM events;", "SELECT event_id, true AS ok, ts::DATE AS d, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS tokyo, event_id AS secs, hour(ts)::INT AS h, minute(ts)::INT AS mi, second(ts)::INT AS s FROM events")
 script("fn_array", "_A := SELECT n_nationkey AS k, ARRAY[n_nationkey, n_regionkey, 3, 3] AS a FROM nation; Result := SELECT k, CARDINALITY(a) AS n, ARRAY_CONTAINS(a, 3) AS has, array_join(ARRAY_DISTINCT(a), ',') AS d, array_join(ARRAY_SLICE(a, 2, 3), ',') AS s, array_join(ARRAY_SORT(a, FALSE), ',') AS r, ARRAY_MAX(a) AS mx, ARRAY_MIN(a) AS mn, array_join(ARRAY_CONCAT(a, ARRAY[9]), ',') AS c, array_join(ARRAY_REMOVE(a, 3), ',') AS rm, a[1] AS first, array_join(ARRAY_REVERSE(a), ',') AS rv, array_join(ARRAY_PREPEND(a, 7), ',') AS pp, ARRAY_POSITION(a, 3) AS pos, array_join(ARRAY_EXCEPT(a, ARRAY[3]), ',') AS ex FROM _A;", "WITH a AS (SELECT n_nationkey AS k, [n_nationkey, n_regionkey, 3, 3] AS a FROM nation) SELECT k, 4 AS n, true AS has, array_to_string(list_transform(list_filter(range(1, 5), lambda i: list_position(a, a[i]) = i), lambda i: a[i]), ',') AS d, array_to_string(a[2:3], ',') AS s, array_to_string(list_sort(a, 'DESC'), ',') AS r, list_max(a) AS mx, list_min(a) AS mn, array_to_string(a || [9], ',') AS c, array_to_string(list_filter(a, lambda x: x <> 3), ',') AS rm, a[1] AS first, array_to_string(list_reverse(a), ',') AS rv, array_to_string([7] || a, ',') AS pp, list_position(a, 3)::BIGINT AS pos, array_to_string(list_filter(list_transform(list_filter(range(1, 5), lambda i: list_position(a, a[i]) = i), lambda i: a[i]), lambda x: x <> 3), ',') AS ex FROM a")
 script("fn_map", "_M := SELECT n_nationkey AS k, MAP['key', n_name, 'region', CAST(n_regionkey AS STRING)] AS m FROM nation; Result := SELECT k, m['region'] AS region, CARDINALITY(m) AS n, array_join(ARRAY_SORT(MAP_KEYS(m)), ',') AS ks, array_join(MAP_VALUES(m), ',') AS vs, MAP_UNION(m, MAP['key', 'new'])['key'] AS later, STR_TO_MAP('a=1,b=2')['b'] AS b FROM _M;", "SELECT n_nationkey AS k, n_regionkey::VARCHAR AS region, 2 AS n, 'key,region' AS ks, n_name || ',' || n_regionkey AS vs, 'new' AS later, '2' AS b FROM nation")
