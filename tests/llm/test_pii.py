@@ -61,9 +61,10 @@ def test_base_spans_match_the_plain_patterns(spark):
 
 
 def test_many_matches_in_one_text(spark):
-    text = " ".join(f"user{i}@mail.example.com 10.0.{i % 256}.1" for i in range(1200))
+    text = " ".join(f"user{i}@mail.example.com 10.0.{i % 256}.1" for i in range(40_000))
     row = detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert (row["n_email"], row["n_ip"]) == (1200, 1200)
+    assert (row["n_email"], row["n_ip"]) == (40_000, 40_000)
+    assert row["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
 
 
 def test_added_spans_are_personal_data_without_base_form(spark):

@@ -17,8 +17,8 @@ that they scan a text in linear time: runs are possessive and start only where a
 Spans are ``kind:start:end`` in code points, end exclusive, by kind (email, ip, card,
 phone) and start. Defined cases: null text is empty and has no spans; a span that
 overlaps one of its kind is not added; repeated rows have equal spans; an empty table
-gives no rows; other columns are ignored. A text with k matches of a pattern costs k^2
-array copies; patterns match at most one place in a few characters.
+gives no rows; other columns are ignored. A text's candidates of a kind are each held
+against its base spans of that kind, which costs their product.
 """
 
 from __future__ import annotations
@@ -63,18 +63,33 @@ FORMAT = {
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.|$)){4}$"
 #: Characters of context before and after a span.
 BEFORE, AFTER = 24, 1
+#: Matches whose offsets are summed in one go.
+BLOCK = 64
+_SPANS = "array<struct<s: int, e: int, v: string, b: string, a: string>>"
 LABELERS = ("pattern", "format", "cue", "surround", "secret")
 #: Candidates with a probability over this are added.
 ACCEPT = 0.8
 
 
-def _matches(text: str, pattern: str) -> str:
-    """SQL: the matches of a pattern as (start, end, value), offsets by summing the lengths of gaps and matches."""
-    p = f"r'{pattern}'"
-    return f"""aggregate(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, hit) -> named_struct('gap', gap, 'hit', hit)),
-        named_struct('at', 0, 'out', CAST(array() AS array<struct<s: int, e: int, v: string>>)),
-        (a, x) -> IF(x.hit IS NULL, a, named_struct('at', a.at + length(x.gap) + length(x.hit),
-            'out', array_append(a.out, named_struct('s', a.at + length(x.gap), 'e', a.at + length(x.gap) + length(x.hit), 'v', x.hit)))), a -> a.out)"""
+def _match_columns(df: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with a column for each of ``patterns`` (name: kind, pattern): the matches in ``t`` as (s, e, v, b, a), in order.
+
+    ``b`` and ``a`` are up to `BEFORE` characters before and `AFTER` after the match, cut at its neighbours.
+    Offsets are sums of the lengths of gaps and matches, summed in blocks of `BLOCK` matches and then over
+    the blocks, so that a text with many matches doesn't copy its array for each of them.
+    """
+    for name, (kind, pattern) in patterns.items():
+        p = f"r'{pattern}'"
+        df = df.withColumn("_g", F.expr(f"IF(t rlike r'{NEEDS[kind]}', split(t, {p}, -1), array(''))"))
+        df = df.withColumn("_h", F.expr(f"IF(size(_g) > 1, regexp_extract_all(t, {p}, 0), CAST(array() AS array<string>))"))
+        df = df.withColumn("_p", F.expr(f"transform(_h, (h, i) -> named_struct('g', length(_g[i]), 'n', length(h), 'v', h, 'b', right(_g[i], {BEFORE}), 'a', left(_g[i + 1], {AFTER})))"))
+        blocks = f"""IF(size(_p) = 0, CAST(array() AS array<struct<at: int, out: {_SPANS}>>), transform(sequence(0, (size(_p) - 1) div {BLOCK}), k -> aggregate(slice(_p, k * {BLOCK} + 1, {BLOCK}),
+            named_struct('at', 0, 'out', CAST(array() AS {_SPANS})), (x, y) -> named_struct('at', x.at + y.g + y.n,
+            'out', array_append(x.out, named_struct('s', x.at + y.g, 'e', x.at + y.g + y.n, 'v', y.v, 'b', y.b, 'a', y.a))))))"""
+        df = df.withColumn("_k", F.expr(blocks))
+        df = df.withColumn("_o", F.expr("aggregate(_k, array(0), (x, y) -> array_append(x, element_at(x, -1) + y.at))"))
+        df = df.withColumn(name, F.expr("flatten(transform(_k, (y, i) -> transform(y.out, z -> named_struct('s', z.s + _o[i], 'e', z.e + _o[i], 'v', z.v, 'b', z.b, 'a', z.a))))"))
+    return df.drop("_g", "_h", "_p", "_k", "_o")
 
 
 def _luhn(value: str) -> str:
@@ -93,17 +108,15 @@ CHECK = {
 
 def spans(docs: DataFrame) -> DataFrame:
     """Of each row: doc_id, the base spans and the candidates, both arrays of (kind, s, e, pattern), ``pattern`` being the labelers' votes."""
-    none = "CAST(array() AS array<struct<s: int, e: int, v: string>>)"
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    df = df.select("*", *[F.expr(f"IF(t rlike r'{NEEDS[k]}', {_matches('t', BASE[k])}, {none})").alias(f"m_{k}") for k in KINDS], *[F.expr(f"IF(t rlike r'{NEEDS[k]}', {_matches('t', WIDE[k])}, {none})").alias(f"w_{k}") for k in KINDS if k != "card"])
+    df = _match_columns(df, {f"m_{k}": (k, BASE[k]) for k in KINDS} | {f"w_{k}": (k, WIDE[k]) for k in KINDS if k != "card"}).drop("t")
     df = df.select("*", *[F.expr(f"filter(m_{k}, x -> {CHECK[k]})").alias(f"b_{k}") for k in KINDS])
     other = {k: f"filter(m_{k}, x -> NOT ({CHECK[k]}))" if k == "card" else f"w_{k}" for k in KINDS}
     df = df.select("*", *[F.expr(f"filter({other[k]}, x -> NOT exists(b_{k}, b -> b.s < x.e AND x.s < b.e))").alias(f"c_{k}") for k in KINDS])
 
     def voted(kind: str, side: str, base: int) -> str:
-        before = f"substring(t, greatest(x.s - {BEFORE}, 0) + 1, least(x.s, {BEFORE}))"
-        votes = f"""concat({base}, IF(x.v rlike r'{FORMAT[kind]}', 1, 0), IF({before} rlike r'{CUES[kind]}', 1, 2),
-            IF((x.s = 0 OR NOT substring(t, x.s, 1) rlike r'[\\p{{L}}0-9_=\\x22]') AND NOT substring(t, x.e + 1, {AFTER}) rlike r'[\\p{{L}}0-9_\\x22]', 1, 0), IF({before} rlike r'{SECRET}', 0, 2))"""
+        votes = f"""concat({base}, IF(x.v rlike r'{FORMAT[kind]}', 1, 0), IF(x.b rlike r'{CUES[kind]}', 1, 2),
+            IF(NOT x.b rlike r'[\\p{{L}}0-9_=\\x22]$' AND NOT x.a rlike r'[\\p{{L}}0-9_\\x22]', 1, 0), IF(x.b rlike r'{SECRET}', 0, 2))"""
         return f"transform({side}_{kind}, x -> named_struct('kind', {KINDS.index(kind)}, 's', x.s, 'e', x.e, 'pattern', {votes}))"
 
     base = ", ".join(voted(k, "b", 1) for k in KINDS)
