@@ -252,3 +252,38 @@ def test_script_of_plain_functions(spark):
     Test := SELECT up, md5, hello FROM Fn ORDER BY up ASC;"""
     got = [tuple(r) for r in Engine(spark).run(text).query("Test").collect()]
     assert got == [("ALICE", "64489c85dc2fe0787b85cd87214b3810", "Hello, Alice"), ("BOB", "2fc1c0beb992cd7096975cfebf9d5c3b", "Hello, Bob")]
+
+
+def test_appended_rows(spark, tmp_path):
+    text = """/*+ engine(kafka), insert(TRANSACTION) */ CREATE TABLE A (id BIGINT NOT NULL, v STRING, u STRING NOT NULL METADATA FROM 'uuid', at TIMESTAMP_LTZ(3) METADATA FROM 'timestamp');
+    /*+ engine(kafka) */ CREATE TABLE B (id BIGINT NOT NULL, v STRING);
+    Latest := DISTINCT A ON id ORDER BY at DESC;"""
+    for folder in (None, str(tmp_path / "log")):
+        e = Engine(spark, log_folder=folder).run(text)
+        e.append("A", [{"id": 1, "v": "x"}, {"id": 2}])
+        with pytest.raises(ValueError):
+            e.append("A", [{"id": 3}, {"v": "no id"}])
+        e.append("B", [{"id": 3}, {"v": "no id"}])
+        assert rows(e.query("A").select("id", "v")) == [(1, "x"), (2, None)] and e.query("B").count() == 1
+        assert e.query("A").select("u").distinct().count() == 2 and e.query("A").filter("at IS NULL").count() == 0
+        assert rows(e.query("A")) == rows(e.query("A"))
+        with pytest.raises(ScriptError):
+            e.append("Latest", [])
+
+
+def test_vector_dimensions_are_checked(spark):
+    text = "/*+ vector_dim(v, 2) */ V := SELECT ARRAY[1.0D, 2.0D] AS v; /*+ vector_dim(v, 3) */ W := SELECT ARRAY[1.0D, 2.0D] AS v;"
+    e = Engine(spark).run(text)
+    assert e.query("V").first()["v"] == [1.0, 2.0]
+    with pytest.raises(Exception, match="dimension"):
+        e.query("W").collect()
+
+
+def test_retention_and_compaction(spark, engine, tmp_path):
+    engine.run("/*+ ttl(1 day), index(BTREE, id) */ Kept := SELECT id, ts FROM Orders; /*+ partition_key(cust) */ Parted := SELECT id, cust FROM Orders;")
+    assert engine.table("Kept").rowtime == "ts"
+    engine.materialize(str(tmp_path), ["Kept", "Parted"])
+    assert engine.query("Kept").count() == 0  # all rows are of 2024
+    assert (tmp_path / "Parted" / "cust=10").exists() and engine.query("Parted").count() == 4
+    engine.compact(str(tmp_path), "Parted")
+    assert rows(engine.query("Parted").select("id", "cust")) == [(1, 10), (2, 10), (3, 20), (4, 30)]

@@ -95,6 +95,28 @@ def test_first_per_key(spark, replay, tmp_path):
     assert len(got) == replay[1].select("user_id").distinct().count()
 
 
+def test_windows_of_a_script_leave_the_state(spark, replay, tmp_path):
+    """Append mode needs the watermark on the window; the last windows stay open until the watermark passes them."""
+    folder, _ = replay
+    text = f"""CREATE TABLE Events (event_id BIGINT, ts TIMESTAMP_LTZ(3), user_id BIGINT, event_type STRING, value DOUBLE, WATERMARK FOR ts AS ts - INTERVAL '1' MINUTE) WITH ('connector' = 'filesystem', 'format' = 'parquet', 'path' = '{folder}', 'max-files' = '1');
+    Hourly := SELECT window_start, window_end, event_type, count(*) AS n FROM TABLE(TUMBLE(TABLE Events, DESCRIPTOR(ts), INTERVAL '1' HOUR)) GROUP BY window_start, window_end, event_type;"""
+    live, batch = Engine(spark, streaming=True).run(text), Engine(spark).run(text)
+    got = run(live.query("Hourly"), "append", "hourly", tmp_path)
+    want = sorted(map(tuple, batch.query("Hourly").collect()), key=str)
+    assert got and set(got) <= set(want)
+
+
+def test_subscriptions(spark, replay, tmp_path):
+    folder, events = replay
+    text = f"""CREATE TABLE Events (event_id BIGINT, ts TIMESTAMP_LTZ(3), value DOUBLE) WITH ('connector' = 'filesystem', 'format' = 'parquet', 'path' = '{folder}');
+    High := SUBSCRIBE SELECT event_id FROM Events WHERE value > 100;"""
+    seen = []
+    e = Engine(spark, streaming=True).run(text)
+    assert e.table("High").subscribe
+    e.subscribe("High", lambda d, n: seen.extend(r["event_id"] for r in d.collect()), str(tmp_path / "sub"), available_now=True).awaitTermination(120)
+    assert sorted(seen) == sorted(r["event_id"] for r in events.filter("value > 100").collect())
+
+
 def test_script_over_a_stream(spark, replay, tmp_path):
     folder, _ = replay
     text = f"""CREATE TABLE Events (event_id BIGINT, ts TIMESTAMP_LTZ(3), user_id BIGINT, event_type STRING, value DOUBLE, WATERMARK FOR ts AS ts - INTERVAL '1' DAY) WITH ('connector' = 'filesystem', 'format' = 'parquet', 'path' = '{folder}');

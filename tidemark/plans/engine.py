@@ -19,12 +19,13 @@ from ..functions import python as python_functions
 from ..operators.dedup import Order, distinct_on, filtered_distinct, ordering, updates
 from ..operators.joins import asof_join, versions
 from ..operators.paging import PAGE_SIZE, Page, page
+from ..operators.upsert import expired
 from ..sources.connectors import SINKS, Connector
 from ..sources.discovery import discover, files_format
 from .analysis import Analysis, Analyzer, Known
 from .cost import Node, stage
 from .hints import Hints
-from .rewrite import Rewriter
+from .rewrite import Rewriter, windowed
 from .statements import AddColumn, Argument, Column, CreateFunction, CreateTable, Definition, Distinct, Export, Import, Insert, NextBatch, Passed, Statement, parse_script
 from .table_type import TableType, of_connector
 from .tokens import ScriptError, Token, after, closing, find, lex, significant, split, sql
@@ -69,6 +70,10 @@ class Function:
     subscribe: bool = False
 
 
+#: Fixed value: the column metadata by which Spark knows a watermark's delay.
+_DELAY = "spark.watermarkDelayMs"
+
+
 def _view(name: str) -> str:
     return name.replace(".", "__")
 
@@ -77,12 +82,14 @@ class Engine:
     """Runs scripts.
 
     ``folders``: where IMPORT finds scripts and data. ``streaming``: sources are read as streams. ``tables``: frames
-    that scripts can read by name. Definitions are views: nothing is computed before a query, an export or
+    that scripts can read by name. ``log_folder``: where rows given to `append` are kept (shared by all executors); without one, which suits
+    tests, they stay with the driver. Definitions are views: nothing is computed before a query, an export or
     `materialize` asks for it, and Catalyst sees through all of them at once.
     """
 
-    def __init__(self, spark: SparkSession, folders: Sequence[str] = (".",), tables: Mapping[str, DataFrame] | None = None, streaming: bool = False, cost_model: str = "DEFAULT", goal: str = "run"):
+    def __init__(self, spark: SparkSession, folders: Sequence[str] = (".",), tables: Mapping[str, DataFrame] | None = None, streaming: bool = False, cost_model: str = "DEFAULT", goal: str = "run", log_folder: str | None = None):
         self.spark, self.folders, self.streaming, self.cost_model, self.goal = spark, list(folders), streaming, cost_model, goal
+        self.log_folder = log_folder
         self.tables: dict[str, Table] = {}
         self.functions: dict[str, Function] = {}
         self.batches: list[list[tuple[str, Any]]] = [[]]
@@ -103,7 +110,8 @@ class Engine:
         key = table.name.lower()
         if not replace and (key in self.tables or key in self.functions):
             raise ScriptError(f"{table.name} is defined twice", table.statement.line if table.statement else 0)
-        self._check_hints(table)
+        if not replace:
+            self._check_hints(table)
         self.tables[key] = table
         table.df.createOrReplaceTempView(f"`{_view(table.name)}`")
         return table
@@ -117,6 +125,10 @@ class Engine:
             self.notices.append(f"{table.name}: hint {name} is not known")
         if keys := table.hints.args("primary_key"):
             table.primary_key = keys
+        for name, dim in table.hints.by_name.get("vector_dim", []):
+            wrong = F.raise_error(F.lit(f"{table.name}.{name} has a vector whose dimension is not {dim}"))
+            c = F.col(f"`{name}`")
+            table.df = table.df.withColumn(name, F.when(c.isNull() | (F.size(c) == int(dim)), c).otherwise(wrong))
 
     def table(self, name: str) -> Table:
         found = self.tables.get(name.lower()) or self.tables.get(f"{self._namespace}{name}".lower())
@@ -223,6 +235,21 @@ class Engine:
         found = {int(args[1]) for t in self.tables.values() for args in t.hints.by_name.get("vector_dim", []) if args[0].lower() == column.lower()}
         return found.pop() if len(found) == 1 else None
 
+    def window_view(self, kind: str, source: str, ts: str, spans: list[str]) -> str | None:
+        """Of a stream: windows whose end carries the watermark, so that grouping by window_end drops closed windows from the state."""
+        table = next((t for t in self.tables.values() if f"`{_view(t.name)}`" == source or t.name.lower() == source.strip("`").lower()), None)
+        if table is None or not table.df.isStreaming or kind == "SESSION":
+            return None
+        column = next((f for f in table.df.schema if f.name.lower() == ts.strip("`").lower()), None)
+        delay = column.metadata.get(_DELAY) if column is not None else None
+        df = self.spark.sql(f"SELECT * FROM {windowed(kind, source, ts, spans)}")
+        if delay is not None:
+            marked = {"window_end": {_DELAY: delay}}
+            df = df.select(*[F.col(f"`{c}`").alias(c, metadata=marked[c]) if c in marked else F.col(f"`{c}`") for c in df.columns])
+        name = f"_windows_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(f"`{name}`")
+        return f"`{name}`"
+
     # ---- scripts
 
     def run(self, script: str) -> Engine:
@@ -713,12 +740,74 @@ class Engine:
             table = self.table(n)
             path = f"{folder.rstrip('/')}/{_view(table.name)}"
             by = table.hints.args("partition_key") or []
-            writer = table.df.write.mode("overwrite")
+            writer = self.retained(table).write.mode("overwrite")
             (writer.partitionBy(*by) if by else writer).parquet(path)
             table.df = self.spark.read.parquet(path)
             self._add(table, replace=True)
         return chosen
 
+    def retained(self, table: Table) -> DataFrame:
+        """A table's rows without those older than its ``ttl``, by its rowtime."""
+        seconds = table.hints.seconds("ttl")
+        return expired(table.df, table.rowtime, seconds) if seconds and table.rowtime else table.df
+
+    def append(self, name: str, rows: DataFrame | Sequence[Mapping[str, Any]]) -> None:
+        """Rows for a table that the engine manages; metadata columns are filled in, and rows must have all other columns that are not null.
+
+        With the hint ``insert(TRANSACTION)`` or ``insert(BATCH)`` all rows are checked before any is taken; by default (SINGLE) rows that break a NOT NULL are refused one by one.
+        """
+        table = self.table(name)
+        if table.source is None or table.connector is not None:
+            raise ScriptError(f"{name} takes no rows")
+        columns = [c for c in table.source.columns if c.computed is None]
+        if not isinstance(rows, DataFrame):
+            given = T.StructType([T.StructField(c.name, self._type(c.type), True) for c in columns if c.metadata is None])
+            rows = self.spark.createDataFrame([tuple(r.get(f.name) for f in given) for r in rows], given)
+        for c in columns:
+            if c.metadata is not None and c.name not in rows.columns:
+                rows = rows.withColumn(c.name, self._metadata(c))
+        rows = rows.select(*[F.col(f"`{c.name}`").cast(self._type(c.type)).alias(c.name) for c in columns])
+        needed = [c.name for c in columns if not c.nullable and c.metadata is None]
+        whole = F.lit(True)
+        for c in needed:
+            whole = whole & F.col(f"`{c}`").isNotNull()
+        if (table.hints.args("insert") or ["SINGLE"])[0].upper() == "SINGLE":
+            rows = rows.filter(whole)
+        elif needed and not rows.filter(~whole).isEmpty():
+            raise ValueError(f"{name}: a row lacks one of {', '.join(needed)}; none was taken")
+        # values such as uuid() must not change from one reading to the next
+        rows = self.spark.createDataFrame(rows.collect(), rows.schema) if self.log_folder is None else self._logged(table, rows)
+        table.inserted.append(rows)
+        table.df = table.df.unionByName(rows)
+        if table.history:
+            table.history = (table.df, *table.history[1:])
+        self._add(table, replace=True)
+
+    def _logged(self, table: Table, rows: DataFrame) -> DataFrame:
+        path = f"{self.log_folder.rstrip('/')}/{_view(table.name)}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def subscribe(self, name: str, callback: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
+        """New rows of a streaming table, batch after batch; gives the running query. Rows of a table of state are its changes."""
+        df = self.table(name).df
+        if not df.isStreaming:
+            raise ScriptError(f"{name} is not a stream")
+        writer = df.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def compact(self, folder: str, name: str, rows_per_file: int = 5_000_000) -> None:
+        """Rewrite a materialized table in fewer, larger files, sorted by its ``index`` columns so that readers can skip."""
+        table = self.table(name)
+        path = f"{folder.rstrip('/')}/{_view(table.name)}_{uuid.uuid4().hex}"
+        by = table.hints.args("partition_key") or []
+        keys = [c for args in table.hints.by_name.get("index", []) for c in args[1:]] or table.primary_key or []
+        files = max(1, -(-table.df.count() // rows_per_file))
+        rows = table.df.repartitionByRange(files, *[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`") for k in keys]) if keys else table.df.repartition(files)
+        (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+        table.df = self.spark.read.parquet(path)
+        self._add(table, replace=True)
+
     def execute(self, folder: str | None = None) -> list[Any]:
         """Exports and inserts, batch after batch; a failure stops all later ones. Streams give their running queries."""
         running = []
