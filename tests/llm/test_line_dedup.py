@@ -30,6 +30,14 @@ def test_patience_finds_whole_blocks_of_unique_lines():
         assert patience(a, b) == [(m.a + k, m.b + k) for m in want for k in range(m.size)]
 
 
+def test_long_texts_align_in_little_more_than_linear_time():
+    rng = random.Random(2)
+    a = list(range(1, 200_001))
+    b = [x for x in a if rng.random() < 0.9] + rng.sample(a, 1000)
+    pairs = patience(a, b)
+    assert len(pairs) > 150_000 and all(a[i] == b[j] for i, j in pairs)
+
+
 def test_short_runs_stay():
     a, w = line_hashes("one two\nthree four\nfive six")
     assert common_blocks(a, a, w, 6) == [0, 1, 2] and common_blocks(a, a, w, 7) == []

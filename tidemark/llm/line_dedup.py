@@ -77,8 +77,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         for i, j in unique:  # longest increasing run of places in b
             k = bisect_left(tops, j)
             back[i, j] = last[k - 1] if k else None
-            tops[k:] = [j] if k == len(tops) else [j, *tops[k + 1 :]]
-            last[k:] = [(i, j)] if k == len(last) else [(i, j), *last[k + 1 :]]
+            if k == len(tops):
+                tops.append(j)
+                last.append((i, j))
+            else:
+                tops[k], last[k] = j, (i, j)
         chain, x = [], last[-1]
         while x is not None:
             chain.append(x)
