@@ -32,49 +32,64 @@ def test_counts_and_base_scores_match_brute_force(spark, docs, rows, monkeypatch
     assert got == sorted((r[0], a, b, n, round(s, 6)) for r, (a, b, n, s) in zip(rows, want, strict=True))
 
 
-def test_scores_follow_the_arcs_and_failures(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "STATES", 4)
-    train = ["a b a b c", "a b d", "e e e a"]
-    texts = ["a b", "b a q", "", "z z"]
-    df = spark.createDataFrame(list(enumerate(train + texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in score_documents(df, df.filter("doc_id < 3")).collect()}
-    counts = Counter(t for x in train for t in toks(x))
+def brute_model(train, share):
+    """p(token | two tokens before), by the definition."""
+    texts = [toks(x) for x in train]
+    counts = Counter(t for x in texts for t in x)
     n, v = sum(counts.values()), len(counts)
-    frequent = sorted(counts, key=lambda t: (-counts[t], t.encode()))[:4]
-    pairs = Counter()
-    for x in train:
-        pairs.update((a, b) for a, b in zip(["<s>", *toks(x)], toks(x), strict=False) if (a == "<s>" or a in frequent) and b in frequent)
-    leaving = lambda s: 3 if s == "<s>" else 0 if s == "\n" else counts[s]
-
-    def p(state, token):
+    words = {w for w, k in counts.items() if k * share >= n}
+    pairs, triples = Counter(), Counter()
+    for x in texts:
+        y = ["<s>", *x]
+        pairs.update((a, b) for a, b in zip(y, y[1:], strict=False) if b in words and (a in words or a == "<s>"))
+    pairs = {p: k for p, k in pairs.items() if k * share >= n}
+    for x in texts:
+        y = ["<s>", *x]
+        triples.update(t for t in zip(y, y[1:], y[2:], strict=False) if t[:2] in pairs and t[1:] in pairs)
+    triples = {t: k for t, k in triples.items() if k * share >= n}
+    leaving = lambda s: len(texts) if s == "<s>" else counts[s]
+
+    def p(token, before=None, before2=None):
         root = (counts[token] + 1) / (n + v + 1)
-        if state != "<s>" and state not in frequent:
+        if before is None or (before not in words and before != "<s>"):
             return root
-        own = {t: k for (s, t), k in pairs.items() if s == state}
-        rest = 1 - sum(k - 0.75 for k in own.values()) / leaving(state) if leaving(state) else 1.0
-        return (own[token] - 0.75) / leaving(state) + rest * root if token in own else rest * root
-
-    for i, t in enumerate(train + texts):
-        want = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *toks(t)], toks(t), strict=False))
+        own = {b: (k - 0.75) / leaving(before) for (a, b), k in pairs.items() if a == before}
+        two = own.get(token, 0.0) + (1 - sum(own.values())) * root
+        if (before2, before) not in pairs:
+            return two
+        own = {c: (k - 0.75) / pairs[before2, before] for (a, b, c), k in triples.items() if (a, b) == (before2, before)}
+        return own.get(token, 0.0) + (1 - sum(own.values())) * two
+
+    return p, counts, pairs, triples
+
+
+TRAIN = ["a b a b c", "a b d", "e e e a b c", "", "a b c d a b c", "f"]
+
+
+@pytest.mark.parametrize("share", [1 << 17, 12, 5, 1])
+def test_scores_follow_arcs_and_failures(spark, monkeypatch, share):
+    monkeypatch.setattr(lm_score, "NGRAMS", share)
+    texts = TRAIN + ["a b", "b a q", "z z a b c", "e e e e e", "c d a", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in score_documents(df, df.filter(f"doc_id < {len(TRAIN)}")).collect()}
+    p, counts, pairs, triples = brute_model(TRAIN, share)
+    assert bool(triples) == (share > 5) or share == 5
+    for i, t in enumerate(texts):
+        y = [None, "<s>", *toks(t)]
+        want = sum(math.log10(p(c, b, a)) for a, b, c in zip(y, y[1:], y[2:], strict=False))
         assert got[i] == pytest.approx(want, abs=1e-9)
     vocabulary = [*counts, "<unknown>"]
-    for s in ["<s>", *frequent]:
-        assert sum(p(s, t) for t in vocabulary) == pytest.approx(1)
-
-
-def test_every_state_sums_to_one():
-    rng = np.random.default_rng(1)
-    words = [b"a", b"b", END, b"c"]
-    pairs = rng.integers(0, 4, (5, 4)).astype(float)
-    pairs[2] = 0
-    counts = np.maximum(pairs.sum(1)[:4], [5, 5, 5, 5]).astype(int)
-    total, kinds = int(counts.sum()) + 7, 6  # two more tokens, seven times
-    model = Automaton(words, counts, pairs, 100, total, kinds)
-    unigram = (counts + 1) / (total + kinds + 1)
-    for s in range(5):
-        arcs = model.arcs[s]
-        seen = ~np.isnan(arcs)
-        assert (10 ** arcs[seen]).sum() + 10 ** model.failure[s] * (1 - unigram[seen].sum()) == pytest.approx(1)
+    for state in [(None, "<s>"), *[(None, w) for w in counts if w != "\n"], *[x for x in pairs if x[1] != "\n"]]:
+        assert sum(p(t, state[1], state[0]) for t in vocabulary) == pytest.approx(1)
+
+
+def test_lookups():
+    keys = np.array([3, 7, 20])
+    assert lm_score.find(keys, np.array([-1, 3, 8, 20, 99])).tolist() == [-1, 0, -1, 2, -1]
+    assert lm_score.find(keys[:0], np.array([3])).tolist() == [-1]
+    words = [b"a", END]
+    model = Automaton(words, np.array([4, 2]), (np.array([0, 1, 6]), np.array([1, 2, 2])), (np.array([]).astype(int),) * 2, 2, 8, 4)
+    assert model.walk(np.array([0, 1]), np.zeros(2)) < 0
 
 
 def test_query(spark, sf):

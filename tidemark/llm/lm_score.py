@@ -1,18 +1,20 @@
 r"""Operator 10: log-probabilities of documents by a weighted backoff automaton.
 
 Tokens are words (A-Z lower-cased, runs of non-space) and one end token per text.
-Training texts are counted whole: tokens, then the pairs of frequent words. The model
-is a bigram model with absolute discounting. Its automaton has a root state and a
-state for each frequent word (and the start); an arc for a seen pair carries the
-pair's smoothed log-probability, and the failure arc to the root carries the weight of
-what the pairs leave over. At the root, a token has its add-one probability, which
-unknown tokens have too, so all tokens sum to one in every state. A text is scored in
-one pass from left to right.
-
-The automaton's size is bounded (`STATES`); the vocabulary's isn't. Tokens with at
-least one `HEAD`-th of all occurrences, of which there can't be more than `HEAD`, go to
-the executors; the others' counts are joined to the texts' rare tokens by shuffle and
-added to the sums, which is exact since the logarithms add up.
+Training texts are counted whole. The model has n-grams up to length three with absolute
+discounting. An n-gram is part of the automaton if it makes up at least an `NGRAMS`-th of
+all tokens, so there can't be more than about `NGRAMS` of a length, at any size of the
+corpus; as its parts are then as frequent, pairs are counted among the frequent words only and
+triples among the frequent pairs, without losing any. Frequent words, pairs and the start are
+states; an arc for a frequent pair or triple carries its smoothed log-probability, and a
+failure arc to the next shorter context carries the weight of what the arcs leave over. At
+the root, a token has its add-one probability, which unknown tokens have too, so all tokens
+sum to one in every state. A text is traversed once from left to right; as a state is given by
+the two tokens before, a text's states, arcs and failures are found for all its tokens at once.
+
+Tokens with at least one `HEAD`-th of all occurrences, of which there can't be more than
+`HEAD`, go to the executors; the others' counts are joined to the texts' rare tokens by
+shuffle and added to the sums, which is exact since the logarithms add up.
 
 Defined cases: null text is empty and has just the end token; repeated rows are
 scored and trained on once each; with no training text every token has probability
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, batches, read, table, text_of
 
-#: States of the automaton, besides the root and the start.
-STATES = 1024
+#: N-grams of the automaton make up at least this share of all tokens (one in so many).
+NGRAMS = 1 << 17
 #: Tokens sent to the executors have at least this share of all occurrences, and at most TOKEN_BYTES bytes.
 HEAD = 1 << 20
 TOKEN_BYTES = 64
@@ -40,6 +42,8 @@ TOKEN_BYTES = 64
 END = b"\n"
 DISCOUNT = 0.75
 FLUSH = 300_000
+#: Places of a task's texts that are counted in one go.
+BLOCK = 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -63,49 +67,95 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return table(docs.select(text_of()).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
 
-def count_pairs(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(pair, n): pairs of the frequent words, as before * (len(words) + 1) + word; the last ``before`` is the start."""
-    place, width = {w: i for i, w in enumerate(words)}, len(words)
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in sorted ``keys``, -1 for those that aren't there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def pair_keys(ids: np.ndarray, width: int) -> np.ndarray:
+    """Of each token: the key of it and the one before it (the start's id is ``width`` - 1), -1 where either is not frequent."""
+    before = np.append(width - 1, ids[:-1])
+    return np.where((before >= 0) & (ids >= 0), before * width + ids, -1)
+
+
+def triple_keys(pairs: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+    """Of each token: the key of the pair before it and it, -1 where that pair or the one it makes is not frequent. ``pairs``: places of each token's pair."""
+    before = np.append(-1, pairs[:-1])
+    return np.where((before >= 0) & (pairs >= 0), before * width + ids, -1)
+
+
+def count_ngrams(docs: DataFrame, words: list[bytes], pairs: np.ndarray | None = None) -> DataFrame:
+    """(gram, n): pairs of ``words`` by `pair_keys`, or with sorted keys of ``pairs`` their triples by `triple_keys`."""
+    width = len(words) + 1
+    sent = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, pairs))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((width + 1) * (width + 1), np.int64)
+        place, known = sent.value
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
+
         for batch in source:
             for text in batch.column(0).to_pylist():
-                ids = np.array([width, *(place.get(t, -1) for t in tokens(text))])
-                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                np.add.at(counts, ids[:-1][both] * (width + 1) + ids[1:][both], 1)
-        seen = np.flatnonzero(counts)
-        for at in range(0, len(seen), 100_000):
-            part = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["pair", "n"])
+                ids = np.array([place.get(t, -1) for t in tokens(text)])
+                keys = pair_keys(ids, width)
+                if known is not None:
+                    keys = triple_keys(find(known, keys), ids, width)
+                held.append(keys[keys >= 0])
+                size += len(held[-1])
+                if size >= BLOCK:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
 
-    return docs.select(text_of()).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.select(text_of()).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Automaton:
-    """The bigram backoff automaton: ``arcs[state, word]`` (NaN: none), ``failure[state]``; words have their unigram logs."""
+    """The backoff automaton over ``words``: arcs of pairs and triples, failures of words and pairs; words have their root logs elsewhere."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, pairs: np.ndarray, texts: int, total: int, kinds: int):
-        """``counts`` of the words, ``pairs`` a matrix of pair counts whose last row is the start's."""
+    def __init__(self, words: list[bytes], counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], texts: int, total: int, kinds: int):
+        """``counts`` of the words; ``pairs`` and ``triples`` are sorted keys with their counts."""
+        self.width = width = len(words) + 1
         self.log_total = float(np.log10(total + kinds + 1))
         unigram = (counts + 1) / (total + kinds + 1)
         leaving = np.append(counts, texts).astype(float)
-        if END in words:
-            leaving[words.index(END)] = 0  # nothing follows the end
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.where(pairs > 0, (pairs - DISCOUNT) / leaving[:, None], 0.0)
-            rest = np.where(leaving > 0, 1 - own.sum(axis=1), 1.0)
-            self.arcs = np.where(pairs > 0, np.log10(own + rest[:, None] * unigram), np.nan)
-            self.failure = np.log10(rest)
-
-    def walk(self, states: np.ndarray, words: np.ndarray, root: np.ndarray) -> float:
-        """Log-probability of a token sequence: ``states`` before each token, its word (-1: none in either), ``root``: its log at the root, 0 where still unknown."""
-        known = states >= 0
-        arc = np.full(len(states), np.nan)
-        both = known & (words >= 0)
-        arc[both] = self.arcs[states[both], words[both]]
-        fails = np.isnan(arc)
-        return float(arc[~fails].sum() + self.failure[states[fails & known]].sum() + root[fails].sum())
+        self.pairs, n = pairs
+        first, second = self.pairs // width, self.pairs % width
+        own = (n - DISCOUNT) / leaving[first]
+        rest = 1 - np.bincount(first, own, width)
+        p2 = own + rest[first] * unigram[second]
+        self.pair_arcs, self.word_failures = np.log10(p2), np.log10(rest)
+        self.triples, m = triples
+        state, third = self.triples // width, self.triples % width
+        own = (m - DISCOUNT) / n[state]
+        rest = 1 - np.bincount(state, own, len(n))
+        shorter = find(self.pairs, second[state] * width + third)  # a frequent triple's pairs are frequent
+        self.triple_arcs, self.pair_failures = np.log10(own + rest[state] * p2[shorter]), np.log10(rest)
+
+    def walk(self, ids: np.ndarray, root: np.ndarray) -> float:
+        """Log-probability of a token sequence: its words' places (-1: not frequent), and ``root``: each token's log at the root."""
+        before = np.append(self.width - 1, ids[:-1])
+        pair = find(self.pairs, pair_keys(ids, self.width))
+        triple = find(self.triples, triple_keys(pair, ids, self.width))
+        state = np.append(-1, pair[:-1])
+        logs = root.copy()
+        failed = (pair < 0) & (before >= 0)
+        logs[failed] += self.word_failures[before[failed]]
+        taken = pair >= 0
+        logs[taken] = self.pair_arcs[pair[taken]]
+        failed = (triple < 0) & (state >= 0)
+        logs[failed] += self.pair_failures[state[failed]]
+        taken = triple >= 0
+        logs[taken] = self.triple_arcs[triple[taken]]
+        return float(logs.sum())
 
 
 def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -115,22 +165,30 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     is_head = (F.col("n") * HEAD >= total) & (F.octet_length("token") <= TOKEN_BYTES)
     head = counts.filter(is_head).toArrow()  # at most HEAD rows, since they have a HEAD-th of all tokens each
     order = np.lexsort((np.array(head["token"].to_pylist(), object), -head["n"].to_numpy())) if len(head) else np.array([], int)
-    names = [head["token"][i].as_py() for i in order[:STATES].tolist()]
-    amounts = head["n"].to_numpy()[order[:STATES]] if len(head) else np.array([], np.int64)
-    found = count_pairs(training, names).toArrow() if names else None
-    matrix = np.zeros((len(names) + 1, len(names) + 1))
-    if found is not None:
-        matrix.flat[found["pair"].to_numpy()] = found["n"].to_numpy()
-    texts = next((int(a) for w, a in zip(names, amounts.tolist(), strict=True) if w == END), 0)
-    model = Automaton(names, amounts, matrix[:, :-1], texts, total, kinds)
+    amounts = head["n"].to_numpy()[order] if len(head) else np.array([], np.int64)
+    chosen = int((amounts * NGRAMS >= total).sum())
+    names, amounts = [head["token"][i].as_py() for i in order[:chosen].tolist()], amounts[:chosen]
+
+    def frequent(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts; all counts sum to about the tokens, so there are about NGRAMS rows at most."""
+        found = grams.filter(F.col("n") * NGRAMS >= total).toArrow()
+        by_key = np.argsort(found["gram"].to_numpy(), kind="stable")
+        return found["gram"].to_numpy()[by_key], found["n"].to_numpy()[by_key]
+
+    nothing = np.array([], np.int64), np.array([], np.int64)
+    pairs = frequent(count_ngrams(training, names)) if names else nothing
+    triples = frequent(count_ngrams(training, names, pairs[0])) if len(pairs[0]) else nothing
+    ends = counts.filter(F.col("token") == F.lit(END)).first()
+    model = Automaton(names, amounts, pairs, triples, ends["n"] if ends else 0, total, kinds)
     words = docs.sparkSession.sparkContext.broadcast(head.select(["token", "n"]).combine_chunks() if len(head) else pa.table({"token": pa.array([], pa.binary()), "n": pa.array([], pa.int64())}))
     states = {w: i for i, w in enumerate(names)}
+    sent = docs.sparkSession.sparkContext.broadcast((model, states))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 33
-        known = words.value
+        known, (model, states) = words.value, sent.value
         place = {w: i for i, w in enumerate(known["token"].to_pylist())}
         logs = np.log10(np.append(known["n"].to_numpy(), 0) + 1.0)
         state = np.array([states.get(w, -1) for w in known["token"].to_pylist()] + [-1])
@@ -141,8 +199,7 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
                 ids = np.array([place.get(t, -1) for t in parts])
                 rare = np.flatnonzero(ids < 0)
                 root = np.where(ids >= 0, logs[ids], 0.0)
-                word = state[ids]
-                score = model.walk(np.append(len(names), word[:-1]), word, root - model.log_total)
+                score = model.walk(state[ids], root - model.log_total)
                 tail = Counter(parts[i] for i in rare.tolist())
                 rows.append((part, doc_id, len(parts), len(parts) - len(rare), float(root.sum()) - len(parts) * model.log_total, score, list(tail), list(tail.values())))
                 part += 1
