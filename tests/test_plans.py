@@ -56,3 +56,9 @@ def test_relationships_become_plain_joins(spark, sf):
 def test_interval_joins_have_an_equality_besides_the_key(spark, sf):
     text = plan(QUERIES["interval_join"](spark, sf))
     assert re.search(r"Join \[user_id#\d+L?, _slot|Join \[_slot|\[_slot#\d+L?, user_id", text)
+
+
+def test_temporal_joins_read_the_columns_that_are_named(spark, sf):
+    e = engine(spark, sf, "V := DISTINCT orders ON o_custkey ORDER BY o_orderdate DESC; R := SELECT l.o_orderkey, v.o_totalprice FROM orders l JOIN V FOR SYSTEM_TIME AS OF l.o_orderdate v ON l.o_custkey = v.o_custkey;")
+    scans = [x.split("ReadSchema")[1] for x in plan(e.query("R")).split("\n") if "FileScan" in x]
+    assert len(scans) == 2 and all("o_orderpriority" not in x and "o_orderstatus" not in x for x in scans)

@@ -161,10 +161,15 @@ class Engine:
             return view, table.primary_key
         return None
 
-    def asof_view(self, left: str, right: str, alias: str, keys: list[tuple[str, str]], left_time: str, how: str) -> str:
-        df, _, time = self.table(right).history or (self.table(right).df, None, None)
+    def asof_view(self, left: str, right: str, alias: str, keys: list[tuple[str, str]], left_time: str, how: str, used: set[str] | None) -> str:
+        """``used``: columns of the versions that the query names, in lower case; others aren't read."""
+        table = self.table(right)
+        df, _, time = table.history or (table.df, None, None)
         if time is None:
             raise ScriptError(f"{right} has no times")
+        if used is not None:
+            needed = used | {b.lower() for _, b in keys} | {time.lower()}
+            df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() in needed])
         name = f"_asof_{uuid.uuid4().hex}"
         asof_join(self.table(left).df, df, keys, left_time, time, alias, how).createOrReplaceTempView(f"`{name}`")
         return name
