@@ -165,7 +165,7 @@ def test_sources_exports_and_batches(spark, tmp_path, capfd):
     (data / "people.csv").write_text("name,age,joined\nann,31,2024-01-02 03:04:05\nbob,,2024-01-03 03:04:05\n")
     (data / "orders.table.sql").write_text("CREATE TABLE Orders (WATERMARK FOR `time` AS `time` - INTERVAL '1' SECOND) LIKE `orders.jsonl`;")
     (data / "sink.table.sql").write_text(f"CREATE TABLE Sink (id BIGINT, price DOUBLE) WITH ('connector' = 'filesystem', 'format' = 'json', 'path' = '{tmp_path}/sink');")
-    (tmp_path / "lib.sqrl").write_text("IMPORT data.orders AS Base; Cheap := SELECT id, price FROM Base WHERE price < 1.2;")
+    (tmp_path / "lib.script").write_text("IMPORT data.orders AS Base; Cheap := SELECT id, price FROM Base WHERE price < 1.2;")
     e = Engine(spark, [str(tmp_path)])
     e.run(
         """

@@ -70,6 +70,8 @@ class Function:
     subscribe: bool = False
 
 
+#: Suffixes of files that are not scripts.
+_NO_SCRIPTS = (".json", ".jsonl", ".csv", ".avsc", ".parquet", ".gz", ".py", ".jar", ".md", ".txt", ".snapshot", ".yaml", ".yml", ".properties", ".graphqls")
 #: Fixed value: the column metadata by which Spark knows a watermark's delay.
 _DELAY = "spark.watermarkDelayMs"
 
@@ -580,8 +582,8 @@ class Engine:
             path = path[:-1]
         for folder in self.folders:
             base = os.path.join(folder, *path)
-            if os.path.exists(f"{base}.sqrl"):
-                return self._inline(f"{base}.sqrl", "" if every else (s.alias or path[-1]) + ".")
+            if script := self._script(base):
+                return self._inline(script, "" if every else (s.alias or path[-1]) + ".")
             if every and os.path.isdir(base):
                 for name in sorted(os.listdir(base)):
                     if name.endswith(".table.sql"):
@@ -595,8 +597,8 @@ class Engine:
                         self._inline(os.path.join(base, name), f"{s.alias or path[-1]}.")
                 return None
             parent = os.path.join(folder, *path[:-1])
-            if len(path) > 1 and os.path.exists(f"{parent}.sqrl"):
-                single = (f"{parent}.sqrl", path[-1])
+            if len(path) > 1 and (script := self._script(parent)):
+                single = (script, path[-1])
         if single:
             inner = Engine(self.spark, [os.path.dirname(single[0]), *self.folders], streaming=self.streaming)
             with open(single[0], encoding="utf-8") as f:
@@ -617,6 +619,16 @@ class Engine:
         self.register_function(s.alias or path[-1], f)
         return None
 
+    @staticmethod
+    def _script(base: str) -> str | None:
+        """The script file of a name: of any suffix that isn't one of data."""
+        folder, stem = os.path.split(base)
+        for name in sorted(os.listdir(folder or ".")) if os.path.isdir(folder or ".") else ():
+            root, suffix = os.path.splitext(name)
+            if root == stem and suffix and suffix not in _NO_SCRIPTS and os.path.isfile(os.path.join(folder, name)):
+                return os.path.join(folder, name)
+        return None
+
     def _inline(self, file: str, namespace: str, rename: str | None = None) -> None:
         with open(file, encoding="utf-8") as f:
             statements = parse_script(f.read())

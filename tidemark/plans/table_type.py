@@ -56,7 +56,6 @@ CONNECTORS = {
     "upsert-kafka-safe": TableType.VERSIONED_STATE,
     "postgres-cdc": TableType.VERSIONED_STATE,
     "jdbc": TableType.LOOKUP,
-    "jdbc-sqrl": TableType.LOOKUP,
 }
 #: The cost of a join by the type of its side, and its factor without an equality or a unique side.
 JOIN_COST = {TableType.STREAM: 100.0, TableType.RELATION: 20.0, TableType.STATE: 10.0, TableType.VERSIONED_STATE: 4.0, TableType.LOOKUP: 2.0, TableType.STATIC: 1.0}
@@ -64,4 +63,6 @@ UNBOUND_FACTOR = 100.0
 
 
 def of_connector(name: str | None) -> TableType:
+    if name is not None and name.lower().startswith("jdbc-"):  # variants of a database connector
+        return TableType.LOOKUP
     return TableType.RELATION if name is None else CONNECTORS.get(name.lower(), TableType.STREAM)

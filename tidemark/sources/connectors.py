@@ -81,7 +81,7 @@ class Connector:
             value = F.from_json(F.col("value").cast("string"), schema) if schema is not None else F.col("value").cast("string").alias("value")
             rows = source.load().select(value.alias("v"), F.col("timestamp").alias("_timestamp"))
             return rows.filter("v IS NOT NULL").select("v.*") if schema is not None else rows
-        if kind in ("jdbc", "jdbc-sqrl"):
+        if kind == "jdbc" or kind.startswith("jdbc-"):
             return spark.read.format("jdbc").options(url=self.options["url"], dbtable=self.options["table-name"], **{k: self.options[o] for k, o in (("user", "username"), ("password", "password")) if o in self.options}).load()
         if kind == "datagen":
             rate = self.options.get("rows-per-second", "10")
@@ -121,7 +121,7 @@ class Connector:
             df.write.format("noop").mode("overwrite").save()
         elif kind in ("filesystem", "file", "iceberg"):
             stored(df).write.format(self.format).mode(mode).partitionBy(*(partition_by or [])).options(**({"header": "true"} if self.format == "csv" else {})).save(self.path)
-        elif kind in ("jdbc", "jdbc-sqrl"):
+        elif kind == "jdbc" or kind.startswith("jdbc-"):
             stored(df).write.format("jdbc").options(url=self.options["url"], dbtable=self.options["table-name"]).mode(mode).save()
         elif kind.endswith(("kafka", "kafka-safe")):
             key = F.to_json(F.struct(*[F.col(c) for c in (partition_by or df.columns)]))
