@@ -124,3 +124,11 @@ def test_script_over_a_stream(spark, replay, tmp_path):
     live, batch = Engine(spark, streaming=True).run(text), Engine(spark).run(text)
     assert live.query("Clicks").isStreaming
     assert run(live.query("Clicks"), "append", "sc", tmp_path) == sorted(map(tuple, batch.query("Clicks").collect()), key=str)
+
+
+def test_registered_streams_over_an_empty_table(spark, sf, tmp_path):
+    from tidemark.streaming.queries import QUERIES
+
+    spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_tumble", "stream_interval_join", "stream_temporal_join", "stream_upsert"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == 0

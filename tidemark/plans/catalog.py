@@ -13,6 +13,7 @@ from ..operators.joins import asof_join, interval_join
 from ..operators.match import match_recognize
 from ..operators.upsert import merged, pk_hash
 from ..operators.vectors import center, nearest
+from ..streaming import queries as streams
 from .engine import Engine
 from .table_type import TableType
 
@@ -387,3 +388,8 @@ def pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @frame("dense_running_rank", "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
 def running_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("place"))
+
+# ---- streams, run to the end of their source
+
+for _name, _query in streams.QUERIES.items():
+    add(_name, _query, ORACLE_SQL[streams.SAME_AS[_name]] if _name in streams.SAME_AS else streams.ORACLE_SQL[_name])
