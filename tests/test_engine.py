@@ -287,3 +287,8 @@ def test_retention_and_compaction(spark, engine, tmp_path):
     assert (tmp_path / "Parted" / "cust=10").exists() and engine.query("Parted").count() == 4
     engine.compact(str(tmp_path), "Parted")
     assert rows(engine.query("Parted").select("id", "cust")) == [(1, 10), (2, 10), (3, 20), (4, 30)]
+
+
+def test_notice_of_a_sliding_recency_filter(engine):
+    engine.run("Recent := SELECT cust, count(*) AS n FROM Orders WHERE ts > NOW() - INTERVAL '1' HOUR GROUP BY cust; Old := SELECT cust, count(*) AS n FROM Orders GROUP BY cust;")
+    assert [n.split(":")[0] for n in engine.notices if "HOP" in n] == ["Recent"]

@@ -357,6 +357,9 @@ class Engine:
         if "FOR SYSTEM_TIME AS OF" in text:
             table.type = TableType.STREAM
         self.notices += [f"{name}: {n}" for n in table.analysis.notices]
+        where, grouped = find(s.body, "WHERE"), find(s.body, "GROUP", "BY")
+        if 0 <= where < grouped and any(t.upper in ("NOW", "CURRENT_TIMESTAMP") for t in s.body[where:grouped]) and "WINDOW_START" not in text:
+            self.notices.append(f"{name}: it aggregates the rows since some time before now; a HOP window would give the same as a stream")
         self._add(table)
         for kind, how in (("query_by_all", "all"), ("query_by_any", "any")):
             for columns in s.hints.by_name.get(kind, []):
