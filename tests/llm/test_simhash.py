@@ -101,6 +101,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(later) > 40 and len(missed) <= 0.03 * len(later)
 
 
+def test_copies_that_resemble_each_other_less_than_their_original(spark):
+    """Pairs of copies are candidates that fail; they must not keep out the copies' pairs with the original."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(30000)}" for _ in range(200)]
+    texts = [" ".join(words), *(edited(rng, words, 4) for _ in range(150))]
+    sets = [set(shingles(t, 5)) for t in texts]
+    assert all(len(s & sets[0]) >= 0.8 * len(s | sets[0]) for s in sets)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert near_duplicates(df).filter("component_id = 0").count() >= 148
+
+
 def test_dense_groups_of_near_copies(spark):
     rng = random.Random(2)
     words = [f"w{rng.randrange(3000)}" for _ in range(300)]

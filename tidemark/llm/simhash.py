@@ -21,8 +21,10 @@ are joined with a budget of two, and a pair met there is held against its whole
 fingerprints. The number of bits grows with the logarithm of the documents, and the
 number of tables follows, so that a pair at the similarity meets in some table but for one in
 a thousand.
-Of each group of candidates go on a spanning forest and every text's nearest partner, at most twice
-as many pairs as texts; these are checked exactly, by their sets of shingles.
+Candidates are checked exactly, by their sets of shingles, in two rounds. In the first, of each
+group of candidates go on a spanning forest and every text's nearest partner. Where one of these fails,
+the second checks every candidate pair that the first has left in different components, so no
+candidate is dropped for another; dense groups that the first has joined cost nothing more.
 
 Groups larger than `GROUP` rows are dealt out again as pairs of salted parts, each
 part against each, so no task holds an unbounded group and no pair is skipped.
@@ -54,6 +56,8 @@ LEAF = 48
 WIDE = 4
 #: Shingles in one Arrow batch, but for a longer text.
 SET_ROWS = 200_000
+#: Pairs of a dense group that a task holds before it sends them on.
+PAIRS = 200_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -120,31 +124,29 @@ class Forest:
                 self.link(i, j)
 
 
-def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | None = None, limit: int = 0, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of places, of the links among sorted ``keys`` (uint64).
+def trie_pairs(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | None = None, limit: int = 0, sides: np.ndarray | None = None, labels: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """The links among sorted ``keys`` (uint64) in blocks: places, places, and how many bits of ``whole`` differ.
 
     Linked: at most ``budget`` of the low ``bits`` bits differ and, if ``whole`` (n x m uint64) is
-    given, at most ``limit`` of its bits; each key's nearest partner by ``whole`` is then among the pairs too.
-    With ``sides`` (booleans) only pairs across the sides count.
+    given, at most ``limit`` of its bits. With ``sides`` (booleans) only pairs across the sides
+    count, with ``labels`` only those of different labels.
     """
-    forest = Forest(len(keys))
-    nearest = np.full(len(keys), np.iinfo(np.int64).max)  # distance and place of the best partner so far
 
-    def leaf(a: slice, b: slice) -> None:
+    def leaf(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         near = np.bitwise_count(keys[a, None] ^ keys[None, b]) <= budget
         if a == b:
             near = np.triu(near, 1)
         if sides is not None:
             near &= sides[a, None] != sides[None, b]
+        if labels is not None:
+            near &= labels[a, None] != labels[None, b]
         x, y = np.nonzero(near)
         x, y = x + a.start, y + b.start
-        if whole is not None and len(x):
-            differ = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int64)
-            close = differ <= limit
-            x, y, differ = x[close], y[close], differ[close]
-            np.minimum.at(nearest, x, differ << 32 | y)
-            np.minimum.at(nearest, y, differ << 32 | x)
-        forest.link_all(x, y)
+        if whole is None or not len(x):
+            return x, y, None
+        differ = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1, dtype=np.int64)
+        close = differ <= limit
+        return x[close], y[close], differ[close]
 
     def halves(lo: int, hi: int, bit: int) -> list[tuple[int, int]]:
         mid = lo + int(np.searchsorted((keys[lo:hi] >> np.uint64(bit)) & np.uint64(1), 1))
@@ -159,13 +161,26 @@ def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | Non
         if bit < 0 or max(a[1] - a[0], b[1] - b[0]) <= LEAF:
             for s in range(a[0], a[1], 1024):  # many equal keys
                 for t in range(s if a == b else b[0], b[1], 1024):
-                    leaf(slice(s, min(s + 1024, a[1])), slice(t, min(t + 1024, b[1])))
+                    found = leaf(slice(s, min(s + 1024, a[1])), slice(t, min(t + 1024, b[1])))
+                    if len(found[0]):
+                        yield found
             continue
         left, right = halves(*a, bit), halves(*b, bit)
         for i in (0, 1):
             for j in (0, 1):
                 if differ + (i != j) <= budget and not (a == b and i > j):
                     stack.append((left[i], right[j], bit - 1, differ + (i != j)))
+
+
+def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | None = None, limit: int = 0, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of places, of the links of `trie_pairs`; with ``whole`` each key's nearest partner is among the pairs too."""
+    forest = Forest(len(keys))
+    nearest = np.full(len(keys), np.iinfo(np.int64).max)  # distance and place of the best partner so far
+    for x, y, differ in trie_pairs(keys, bits, budget, whole, limit, sides):
+        if differ is not None:
+            np.minimum.at(nearest, x, differ << 32 | y)
+            np.minimum.at(nearest, y, differ << 32 | x)
+        forest.link_all(x, y)
     if whole is None:
         return forest.edges
     partner = nearest & 0xFFFFFFFF
@@ -174,15 +189,19 @@ def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | Non
 
 
 def group_links(bits: int, budget: int, limit: int = 0):
-    """A mapInArrow function: rows (key, lo, hi, part, node, proj[, whole]) sorted by the first three -> edges (a, b)."""
+    """A mapInArrow function: rows (key, lo, hi, part, node, proj[, whole[, label]]) sorted by the first three -> edges (a, b).
+
+    With labels it gives all pairs whose labels differ, else a spanning forest and the nearest partners.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def joined(table_: pa.Table) -> pa.RecordBatch:
+        def joined(table_: pa.Table) -> Iterator[pa.RecordBatch]:
             key, lo, hi, part, node, proj = (table_.column(i).to_numpy() for i in range(6))
             proj = proj.view(np.uint64)
             whole = np.frombuffer(b"".join(table_.column(6).to_pylist()), np.uint64).reshape(len(key), -1) if table_.num_columns > 6 else None
+            label = table_.column(7).to_numpy() if table_.num_columns > 7 else None
             cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
             sizes = ends - starts
@@ -191,14 +210,28 @@ def group_links(bits: int, budget: int, limit: int = 0):
             near &= (lo[pairs] == hi[pairs]) | (part[pairs] != part[pairs + 1])
             if whole is not None:
                 near &= np.bitwise_count(whole[pairs] ^ whole[pairs + 1]).sum(axis=1, dtype=np.int64) <= limit
-            a, b = [node[pairs[near]]], [node[pairs[near] + 1]]
+            if label is not None:
+                near &= label[pairs] != label[pairs + 1]
+            a, b, held_pairs = [node[pairs[near]]], [node[pairs[near] + 1]], 0
             for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
                 order = s + np.argsort(proj[s:e], kind="stable")
-                found = trie_links(proj[order], bits, budget, None if whole is None else whole[order], limit, part[order] != lo[s] if lo[s] != hi[s] else None)
-                if found:
+                given = proj[order], bits, budget, None if whole is None else whole[order], limit, part[order] != lo[s] if lo[s] != hi[s] else None
+                if label is not None:
+                    for x, y, _ in trie_pairs(*given, label[order]):
+                        a.append(node[order[x]])
+                        b.append(node[order[y]])
+                        held_pairs += len(x)
+                        if held_pairs >= PAIRS:
+                            yield edges(a, b)
+                            a, b, held_pairs = [], [], 0
+                elif found := trie_links(*given):
                     x, y = np.array(found).T
                     a.append(node[order[x]])
                     b.append(node[order[y]])
+            if a:
+                yield edges(a, b)
+
+        def edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
         rows = 0
@@ -211,17 +244,17 @@ def group_links(bits: int, budget: int, limit: int = 0):
                 tail = np.logical_and.reduce([whole_table.column(i).to_numpy() == last[i] for i in range(3)])
                 at = int(np.argmax(tail))
                 if at:
-                    yield joined(whole_table.slice(0, at).combine_chunks())
+                    yield from joined(whole_table.slice(0, at).combine_chunks())
                 held = whole_table.slice(at).combine_chunks().to_batches()
                 rows = whole_table.num_rows - at
         if rows:
-            yield joined(pa.Table.from_batches(held).combine_chunks())
+            yield from joined(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
 def linked(rows: DataFrame, bits: int, budget: int, limit: int = 0) -> DataFrame:
-    """Edges (a, b) among ``rows`` (key, node, proj[, whole]), a spanning forest of each key's links."""
+    """Edges (a, b) among ``rows`` (key, node, proj[, whole[, label]]): a spanning forest of each key's links, or with labels all links of different labels."""
     counts = table(rows.groupBy("key").count().filter(F.col("count") > GROUP))
     rest = [c for c in rows.columns if c not in ("key",)]
     if counts.isEmpty():
@@ -326,6 +359,18 @@ def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float)
     return met.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def unjoined(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, label) of the nodes in components (node, component) between which a candidate pair has failed, a written table.
+
+    All others are in one component with everything that they are candidates with.
+    """
+    named = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
+    labels = table(named.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+    ends = candidates.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x <> y")
+    open_ = table(ends.select(F.explode(F.array("x", "y")).alias("label")).distinct())
+    return table(labels.join(small(open_, 16), "label", "left_semi").select("node", "label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of the documents that are in a group of two or more and aren't its first."""
     limit = max_differing(similarity)
@@ -351,11 +396,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                     proj = flags[:, draw] @ (np.int64(1) << np.arange(bits, dtype=np.int64))
                     for i in range(3):
                         value = proj >> cuts[i] & (1 << (cuts[i + 1] - cuts[i])) - 1
-                        yield pa.RecordBatch.from_arrays([pa.array((3 * t + i) << 24 | value), part.column(0), pa.array(proj), part.column(1)], ["key", "node", "proj", "whole"])
-
-    rows = nodes.select("node", "whole").mapInArrow(projected, "key long, node long, proj long, whole binary")
-    candidates = table(linked(rows, bits, 2, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = components(verified(candidates, known.withColumnRenamed("doc_id", "node"), words, similarity))
+                        yield pa.RecordBatch.from_arrays([pa.array((3 * t + i) << 24 | value), part.column(0), pa.array(proj), *part.columns[1:]], ["key", "node", "proj", *part.schema.names[1:]])
+
+    def met(some: DataFrame, ddl: str = "") -> DataFrame:
+        rows = some.mapInArrow(projected, f"key long, node long, proj long, whole binary{ddl}")
+        return linked(rows, bits, 2, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    texts = known.withColumnRenamed("doc_id", "node")
+    candidates = table(met(nodes.select("node", "whole")))
+    edges = table(verified(candidates, texts, words, similarity))
+    found = components(edges)
+    left = unjoined(candidates, found)
+    if not left.isEmpty():  # a candidate has failed: what its place has kept out is checked now
+        more = table(met(nodes.join(left, "node").select("node", "whole", "label"), ", label long").join(candidates, ["a", "b"], "left_anti"))
+        found = components(edges.union(verified(more, texts, words, similarity)))
     copies = fps.join(nodes, "whole").select("doc_id", "node")
     placed = copies.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return placed.filter(F.col("doc_id") != F.col("component_id")).distinct()
