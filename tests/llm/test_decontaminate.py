@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemark.llm.decontaminate import MASKS, Hashes, clean_documents, contaminated, indexes, token_hashes, window_hashes
+from tidemark.llm.decontaminate import MASKS, Hashes, Index, clean_documents, contaminated, indexes, token_hashes, window_hashes
 from .conftest import prose
 
 
@@ -63,6 +63,14 @@ def test_passages_are_found_with_substitutions_and_clean_texts_are_not(spark, be
     assert kept == {i for i, _ in clean}
 
 
+def test_a_short_run_doesnt_hide_a_long_one_on_its_diagonal():
+    rng = random.Random(6)
+    item = words(rng, 50)
+    text = [*words(rng, 9), *item[:12], *(f"x{i}" for i in range(8)), *item[20:], *words(rng, 9)]
+    h = lambda t: token_hashes(" ".join(t), Hashes())
+    assert Index([(7, h(item))]).overlaps(h(text), 13, 0.8)[0][0] == 7
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, bench, benchmark_df, monkeypatch):
     rng = random.Random(4)
     df = spark.createDataFrame([(i, " ".join([*words(rng, 5), *t.split(), *words(rng, 5)])) for i, t in bench[:6]], "doc_id long, text string")

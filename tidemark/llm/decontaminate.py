@@ -3,8 +3,8 @@ r"""Operator 8: benchmark passages in documents by spaced-seed hashing.
 A seed is a mask over a window of tokens; masked-out places may hold any token, so a
 substitution there doesn't break the hit. Every benchmark item's windows are hashed
 under every mask, and every document's windows are looked up. A hit fixes a
-diagonal, along which the texts are compared token by token, with substitutions, as far
-as identity stays over ``identity``; an overlap of ``min_tokens`` tokens (or of the whole item, if
+diagonal, along which the texts are compared token by token, with substitutions, and the
+longest stretch with ``identity`` is taken, wherever the hits lie in it; an overlap of ``min_tokens`` tokens (or of the whole item, if
 shorter) contaminates the document.
 
 Tokens are words in lower case without outer punctuation. Windows are hashed for a
@@ -39,6 +39,9 @@ IDENTITY = 0.8
 #: Tokens of the benchmark in a block; an index entry is about 30 bytes for each mask.
 BLOCK_TOKENS = 400_000
 CACHE_WORDS = 300_000
+#: Tokens before and after a hit among which an overlap's equal ones are counted first, and hits of a text that are looked at in one go.
+REACH = 2 * MIN_TOKENS
+HITS = 20_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -84,6 +87,11 @@ class Index:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = [(i, t) for i, t in items if len(t)]
+        # the items' tokens in a row, with room between them that equals no token
+        gap = np.zeros(REACH + 5, np.uint64)
+        self.flat = np.concatenate([gap, *(x for _, t in self.items for x in (t, gap))])
+        self.starts = np.cumsum([len(gap), *(len(t) + len(gap) for _, t in self.items)])
+        self.lengths = np.array([len(t) for _, t in self.items], np.int64)
         entries: dict[str, list[tuple[np.ndarray, int]]] = {}
         for k, (_, tokens) in enumerate(self.items):
             for mask in masks_for(len(tokens)):
@@ -101,34 +109,43 @@ class Index:
     def overlaps(self, tokens: np.ndarray, min_tokens: int, identity: float) -> list[tuple[int, int, int, int]]:
         """(item, start, tokens, equal tokens) of the longest overlap with each item that has one."""
         best: dict[int, tuple[int, int, int]] = {}
+        gap = np.full(REACH + 5, 2, np.uint64)
+        padded = np.concatenate([gap, tokens, gap])
+        diagonals: set[tuple[int, int]] = set()
         for mask, (h, item, place, bits) in self.masks.items():
             windows = window_hashes(tokens, mask)
             maybe = np.flatnonzero(bits[windows & np.uint64((1 << 22) - 1)])
             if not len(maybe):
                 continue
             lo, hi = np.searchsorted(h, windows[maybe], "left"), np.searchsorted(h, windows[maybe], "right")
-            hit = hi > lo
-            diagonals = {}
-            for at, s, e in zip(maybe[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                for k, p in zip(item[s:e].tolist(), place[s:e].tolist(), strict=True):
-                    diagonals.setdefault((k, at - p), at)
-            for (k, shift), at in diagonals.items():
-                start, n, same = self._extend(tokens, self.items[k][1], shift, at, len(mask), identity)
-                if n >= min(min_tokens, len(self.items[k][1])) and same >= identity * n and n > best.get(k, (0, 0, 0))[1]:
-                    best[k] = start, n, same
+            ends = np.cumsum(hi - lo)
+            for first in range(0, int(ends[-1]), HITS):
+                of = np.arange(first, min(first + HITS, int(ends[-1])))
+                row = np.searchsorted(ends, of, "right")
+                entry = hi[row] - (ends[row] - of)
+                k, at, p = item[entry].astype(np.int64), maybe[row], place[entry].astype(np.int64)
+                # some stretch of under 2 * min_tokens around one of its hits has the identity, if a longer one has
+                reach = np.arange(-REACH, REACH + 5) if min_tokens <= MIN_TOKENS else np.arange(5)
+                near = (padded[(at + len(gap))[:, None] + reach] == self.flat[(self.starts[k] + p)[:, None] + reach]).sum(axis=1)
+                enough = near >= np.ceil(identity * np.minimum(min_tokens, self.lengths[k]) - 1e-9) if min_tokens <= MIN_TOKENS else near > 0
+                diagonals.update(zip(k[enough].tolist(), (at - p)[enough].tolist(), strict=True))
+        for k, shift in sorted(diagonals):
+            whole, start, n, same = self._longest(tokens, self.items[k][1], shift, identity)
+            if whole >= min(min_tokens, len(self.items[k][1])) and n > best.get(k, (0, 0, 0))[1]:
+                best[k] = start, n, same
         return [(self.items[k][0], *x) for k, x in sorted(best.items())]
 
     @staticmethod
-    def _extend(tokens: np.ndarray, item: np.ndarray, shift: int, at: int, span: int, identity: float) -> tuple[int, int, int]:
-        """From the window at ``at`` outwards along the diagonal, as far as it gains; an equal token gains 1, another costs what keeps ``identity``."""
+    def _longest(tokens: np.ndarray, item: np.ndarray, shift: int, identity: float) -> tuple[int, int, int, int]:
+        """Tokens of the longest stretch of the diagonal with ``identity``; and of it from the first equal token to the last: start, tokens, equal tokens."""
         lo, hi = max(0, shift), min(len(tokens), shift + len(item))
         same = tokens[lo:hi] == item[lo - shift : hi - shift]
-        gain = np.where(same, 1.0, -identity / (1 - identity))
-        left, right = at - lo, at - lo + span
-        back, on = np.cumsum(gain[:left][::-1]), np.cumsum(gain[right:])
-        left -= int(np.argmax(back)) + 1 if len(back) and back.max() > 0 else 0
-        right += int(np.argmax(on)) + 1 if len(on) and on.max() > 0 else 0
-        return lo + left, right - left, int(same[left:right].sum())
+        sums = np.concatenate([[0.0], np.cumsum(same - identity)])
+        # of each end the first start from which the sum doesn't fall
+        left = np.searchsorted(-np.minimum.accumulate(sums), -sums - 1e-9)
+        right = int(np.argmax(np.arange(len(sums)) - left))
+        inside = np.flatnonzero(same[left[right] : right]) + int(left[right])
+        return (right - int(left[right]), lo + int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside)) if len(inside) else (0, lo, 0, 0)
 
 
 def indexes(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
