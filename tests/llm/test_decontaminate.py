@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -71,6 +72,21 @@ def test_a_short_run_doesnt_hide_a_long_one_on_its_diagonal():
     assert Index([(7, h(item))]).overlaps(h(text), 13, 0.8)[0][0] == 7
 
 
+@pytest.mark.parametrize("length", [6, 10, 13, 14, 15, 16, 20])
+def test_every_placement_of_substitutions_that_identity_admits_is_found(length):
+    rng = random.Random(length)
+    h = lambda t: token_hashes(" ".join(t), Hashes())
+    item, around = words(rng, length), (words(rng, 30), words(rng, 30))
+    index = Index([(1, h(item))])
+    places = list(itertools.combinations(range(length), length // 5))
+    for k in places if len(places) < 600 else rng.sample(places, 600):
+        part = ["x" if i in k else w for i, w in enumerate(item)]
+        found = index.overlaps(h([*around[0], *part, *around[1]]), 13, 0.8)
+        assert [x[0] for x in found] == [1] and found[0][3] == length - len(k)
+    every_fifth = ["x" if i % 5 == 4 else w for i, w in enumerate(item * 4)]
+    assert length < 13 or Index([(1, h(item * 4))]).overlaps(h(every_fifth), 13, 0.8)
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, bench, benchmark_df, monkeypatch):
     rng = random.Random(4)
     df = spark.createDataFrame([(i, " ".join([*words(rng, 5), *t.split(), *words(rng, 5)])) for i, t in bench[:6]], "doc_id long, text string")

@@ -2,7 +2,8 @@ r"""Operator 8: benchmark passages in documents by spaced-seed hashing.
 
 A seed is a mask over a window of tokens; masked-out places may hold any token, so a
 substitution there doesn't break the hit. Every benchmark item's windows are hashed
-under every mask, and every document's windows are looked up. A hit fixes a
+under every mask of `SEEDS`, and every document's windows are looked up. At identity 0.8 every
+overlap of six tokens or more has a hit. A hit fixes a
 diagonal, along which the texts are compared token by token, with substitutions, and the
 longest stretch with ``identity`` is taken, wherever the hits lie in it; an overlap of ``min_tokens`` tokens (or of the whole item, if
 shorter) contaminates the document.
@@ -34,6 +35,8 @@ from .common import batches, read, text_of
 
 #: 1: the token counts. Every place is masked out in one of them, so any one substitution in twelve tokens leaves a hit; the last takes runs of up to four.
 MASKS = ("011011011011", "101101101101", "110110110110", "111111110000")
+#: What is looked up: with a fifth of the tokens substituted at any places, one of these fits into six tokens or more.
+SEEDS = ("1111", "11011")
 MIN_TOKENS = 13
 IDENTITY = 0.8
 #: Tokens of the benchmark in a block; an index entry is about 30 bytes for each mask.
@@ -75,11 +78,8 @@ def window_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(length: int) -> tuple[str, ...]:
-    """The masks of items with ``length`` tokens; short items are hashed whole, and with each place masked out if that leaves five."""
-    span = len(MASKS[0])
-    if length >= span:
-        return MASKS
-    return ("1" * length, *("1" * i + "0" + "1" * (length - 1 - i) for i in range(length) if length > 5))
+    """The masks of items with ``length`` tokens; items under six are hashed whole."""
+    return SEEDS if length >= 6 else ("1" * length,)
 
 
 class Index:
