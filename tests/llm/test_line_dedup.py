@@ -43,6 +43,14 @@ def test_short_runs_stay():
     assert common_blocks(a, a, w, 6) == [0, 1, 2] and common_blocks(a, a, w, 7) == []
 
 
+def test_a_passage_whose_lines_are_older_finds_its_holder(spark):
+    rng = random.Random(9)
+    x, y = line(rng, 25), line(rng, 25)
+    rows = [(1, f"{line(rng)}\n{x}"), (2, f"{y}\n{line(rng)}"), (3, f"{line(rng)}\n{x}\n{y}"), (4, f"{x}\n{y}\n{line(rng)}")]
+    got = {r["doc_id"]: r["text"] for r in without_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows[:3]) | {4: rows[3][1].split("\n")[2]}
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(7)

@@ -1,6 +1,8 @@
 r"""Operator 7: blocks of lines that an earlier document has, found by pairwise alignment.
 
-Every line's hash is linked to the earliest document (smallest doc_id) that has it.
+Every line's hash is linked to the earliest document (smallest doc_id) that has it, and so is
+every shortest run of adjacent lines that reaches ``min_words``, from each line on and up to each
+line; so a passage finds a document that has it as a passage, where its lines alone are older.
 Documents are paired with the documents their lines link to, so a line that n documents
 share makes n - 1 pairs, not n^2, however frequent it is, and rare and frequent lines
 need no threshold between them. A pair's line hashes are aligned by patience diff: lines
@@ -45,6 +47,18 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
+def run_hashes(hashes: list[int], words: list[int], min_words: int) -> list[int]:
+    """Hashes of the shortest runs of two or more lines with ``min_words`` words, from each line on and up to each line; their ends aren't blank."""
+    sums = np.concatenate([[0], np.cumsum(words)])
+    full = np.flatnonzero(np.array(words) > 0)
+    start, end = full, np.searchsorted(sums, sums[full] + min_words)  # from each line on
+    found = [(i, j) for i, j in zip(start.tolist(), end.tolist(), strict=True) if j < len(sums)]
+    first = np.searchsorted(sums, sums[full + 1] - min_words, "right") - 1  # up to each line
+    found += [(i, j + 1) for i, j in zip(first.tolist(), full.tolist(), strict=True) if i >= 0]
+    data = np.array(hashes, np.int64).tobytes()
+    return [xxhash.xxh64_intdigest(data[8 * i : 8 * j]) - (1 << 63) for i, j in sorted({(i, j) for i, j in found if j - i > 1})]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of equal, non-blank lines, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -118,13 +132,13 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             both = [line_hashes(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in both], pa.list_(pa.int64())), pa.array([w for _, w in both], pa.list_(pa.int32()))], ["doc_id", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in both], pa.list_(pa.int64())), pa.array([w for _, w in both], pa.list_(pa.int32())), pa.array([run_hashes(h, w, min_words) for h, w in both], pa.list_(pa.int64()))], ["doc_id", "h", "w", "r"])
 
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # what is joined below is written first, so that the joins' sides are plain shuffles, which adaptive execution splits at hot keys
-    seqs = own.mapInArrow(hashed, "doc_id long, h array<long>, w array<int>").filter(F.size("h") > 0)
-    seqs = table(seqs.groupBy("doc_id").agg(F.min(F.struct("h", "w")).alias("x")).select("doc_id", "x.h", "x.w"))
-    lines = seqs.select("doc_id", F.explode(F.array_distinct("h")).alias("line")).filter(F.col("line") != 0)
+    seqs = own.mapInArrow(hashed, "doc_id long, h array<long>, w array<int>, r array<long>").filter(F.size("h") > 0)
+    seqs = table(seqs.groupBy("doc_id").agg(F.min(F.struct("h", "w", "r")).alias("x")).select("doc_id", "x.h", "x.w", "x.r"))
+    lines = seqs.select("doc_id", F.explode(F.array_distinct(F.concat("h", "r"))).alias("line")).filter(F.col("line") != 0)
     first = table(lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n"))
     pairs = table(lines.join(first, "line").filter(F.col("first") < F.col("doc_id")).select("doc_id", "first").distinct())
     # both texts' hashes meet; a document that many link to is a hot key of the second join
