@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import lm_score
-from tidemark.llm.lm_score import END, Automaton, score_documents
+from tidemark.llm.lm_score import _rows, ask, from_narrow, narrow, packed, score_documents, score_rows, tokenised, unpacked
 from tidemark.llm.queries import QUERIES
 
 
@@ -22,74 +23,80 @@ def brute_base(texts, training):
     return [(len(toks(t)), sum(counts[w] > 0 for w in toks(t)), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in toks(t))) for t in texts]
 
 
-@pytest.mark.parametrize("head", [1 << 20, 40])
-def test_counts_and_base_scores_match_brute_force(spark, docs, rows, monkeypatch, head):
-    """With a small HEAD most tokens go the way of rare ones."""
-    monkeypatch.setattr(lm_score, "HEAD", head)
+@pytest.mark.parametrize(("many", "bucket"), [(False, 1 << 18), (True, 50)])
+def test_counts_and_base_scores_match_brute_force(spark, docs, rows, monkeypatch, many, bucket):
+    """Small blocks and buckets cut the automaton in many pieces."""
+    monkeypatch.setattr(lm_score, "BUCKET", bucket)
     training = docs.filter("doc_id % 3 != 0")
+    if many:
+        docs, training = docs.repartition(9), training.repartition(7)
     got = sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in score_documents(docs, training).collect())
     want = brute_base([r[1] for r in rows], [r[1] for r in rows if r[0] % 3])
     assert got == sorted((r[0], a, b, n, round(s, 6)) for r, (a, b, n, s) in zip(rows, want, strict=True))
+    together = score_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 3 != 0).alias("trains"), F.lit(True).alias("scored")))
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in together.collect()) == got
 
 
-def brute_model(train, share):
-    """p(token | two tokens before), by the definition."""
-    texts = [toks(x) for x in train]
-    counts = Counter(t for x in texts for t in x)
+def brute_model(train, mass):
+    """p(token | two tokens before), by the definition, over all pairs and triples."""
+    texts = [["<s>", *toks(x)] for x in train]
+    counts, pairs, triples = (Counter(t for y in texts for t in zip(*(y[k:] for k in range(n)), strict=False)) for n in (1, 2, 3))
+    del counts["<s>",]
     n, v = sum(counts.values()), len(counts)
-    words = {w for w, k in counts.items() if k * share >= n}
-    pairs, triples = Counter(), Counter()
-    for x in texts:
-        y = ["<s>", *x]
-        pairs.update((a, b) for a, b in zip(y, y[1:], strict=False) if b in words and (a in words or a == "<s>"))
-    pairs = {p: k for p, k in pairs.items() if k * share >= n}
-    for x in texts:
-        y = ["<s>", *x]
-        triples.update(t for t in zip(y, y[1:], y[2:], strict=False) if t[:2] in pairs and t[1:] in pairs)
-    triples = {t: k for t, k in triples.items() if k * share >= n}
-    leaving = lambda s: len(texts) if s == "<s>" else counts[s]
+    leaving, from_pair = Counter(p[0] for p in pairs.elements()), Counter(t[:2] for t in triples.elements())
 
     def p(token, before=None, before2=None):
-        root = (counts[token] + 1) / (n + v + 1)
-        if before is None or (before not in words and before != "<s>"):
-            return root
-        own = {b: (k - 0.75) / leaving(before) for (a, b), k in pairs.items() if a == before}
-        two = own.get(token, 0.0) + (1 - sum(own.values())) * root
-        if (before2, before) not in pairs:
-            return two
-        own = {c: (k - 0.75) / pairs[before2, before] for (a, b, c), k in triples.items() if (a, b) == (before2, before)}
-        return own.get(token, 0.0) + (1 - sum(own.values())) * two
+        root = (counts[token,] + 1) / (n + v + 1)
+        two = (pairs[before, token] + mass[0] * root) / (leaving[before] + mass[0])
+        return two if before2 is None else (triples[before2, before, token] + mass[1] * two) / (from_pair[before2, before] + mass[1])
 
-    return p, counts, pairs, triples
+    return p, counts, pairs
 
 
-TRAIN = ["a b a b c", "a b d", "e e e a b c", "", "a b c d a b c", "f"]
+TRAIN = ["a b a b c", "a b d", "e e e a b c", "", "a b c d a b c", "f", "f"]
 
 
-@pytest.mark.parametrize("share", [1 << 17, 12, 5, 1])
-def test_scores_follow_arcs_and_failures(spark, monkeypatch, share):
-    monkeypatch.setattr(lm_score, "NGRAMS", share)
+@pytest.mark.parametrize("mass", [(3000.0, 5.0), (1.0, 1.0), (0.5, 20.0)])
+@pytest.mark.parametrize("bucket", [1 << 18, 3])
+def test_scores_follow_arcs_and_failures(spark, monkeypatch, mass, bucket):
+    monkeypatch.setattr(lm_score, "BUCKET", bucket)
     texts = TRAIN + ["a b", "b a q", "z z a b c", "e e e e e", "c d a", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["score"] for r in score_documents(df, df.filter(f"doc_id < {len(TRAIN)}")).collect()}
-    p, counts, pairs, triples = brute_model(TRAIN, share)
-    assert bool(triples) == (share > 5) or share == 5
+    got = {r["doc_id"]: r["score"] for r in score_documents(df, df.filter(f"doc_id < {len(TRAIN)}"), mass).collect()}
+    p, counts, pairs = brute_model(TRAIN, mass)
     for i, t in enumerate(texts):
         y = [None, "<s>", *toks(t)]
         want = sum(math.log10(p(c, b, a)) for a, b, c in zip(y, y[1:], y[2:], strict=False))
         assert got[i] == pytest.approx(want, abs=1e-9)
-    vocabulary = [*counts, "<unknown>"]
-    for state in [(None, "<s>"), *[(None, w) for w in counts if w != "\n"], *[x for x in pairs if x[1] != "\n"]]:
+    vocabulary = [*(w for w, in counts), "<unknown>"]
+    for state in [(None, "<s>"), *[(None, w) for w, in counts if w != "\n"], *[x for x in pairs if x[1] != "\n"]]:
         assert sum(p(t, state[1], state[0]) for t in vocabulary) == pytest.approx(1)
 
 
-def test_lookups():
-    keys = np.array([3, 7, 20])
-    assert lm_score.find(keys, np.array([-1, 3, 8, 20, 99])).tolist() == [-1, 0, -1, 2, -1]
-    assert lm_score.find(keys[:0], np.array([3])).tolist() == [-1]
-    words = [b"a", END]
-    model = Automaton(words, np.array([4, 2]), (np.array([0, 1, 6]), np.array([1, 2, 2])), (np.array([]).astype(int),) * 2, 2, 8, 4)
-    assert model.walk(np.array([0, 1]), np.zeros(2)) < 0
+def test_every_ngram_of_the_training_texts_is_in_the_model(spark, sf):
+    """The hashes that blocks ask for, with their counts, are the corpus's n-grams, at any size."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    blocks = tokenised(_rows(docs, F.lit(True), True), 5000)
+    assert blocks.count() > 5
+    asked = ask(blocks, 7).collect()
+    texts = [["<s>", *toks(r["text"])] for r in docs.select("text").collect()]
+    for k in range(3):
+        found = Counter()
+        for r in asked:
+            if r["bucket"] // 7 == k:
+                found.update(dict(zip(unpacked(r["hashes"]).tolist(), from_narrow(r["times"]).tolist(), strict=True)))
+        want = Counter(t for y in texts for t in zip(*(y[i:] for i in range(k + 1)), strict=False) if t != ("<s>",))
+        assert sorted(found.values()) == sorted(want.values())
+
+
+def test_packing_of_numbers():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        h = np.sort(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        assert unpacked(packed(h)).tolist() == h.tolist()
+        for top in (0, 1, 255, 256, 70_000, 1 << 40):
+            c = rng.integers(0, top + 1, n)
+            assert from_narrow(narrow(c)).tolist() == c.tolist()
 
 
 def test_query(spark, sf):

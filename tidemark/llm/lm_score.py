@@ -1,220 +1,265 @@
 r"""Operator 10: log-probabilities of documents by a weighted backoff automaton.
 
 Tokens are words (A-Z lower-cased, runs of non-space) and one end token per text.
-Training texts are counted whole. The model has n-grams up to length three with absolute
-discounting. An n-gram is part of the automaton if it makes up at least an `NGRAMS`-th of
-all tokens, so there can't be more than about `NGRAMS` of a length, at any size of the
-corpus; as its parts are then as frequent, pairs are counted among the frequent words only and
-triples among the frequent pairs, without losing any. Frequent words, pairs and the start are
-states; an arc for a frequent pair or triple carries its smoothed log-probability, and a
-failure arc to the next shorter context carries the weight of what the arcs leave over. At
-the root, a token has its add-one probability, which unknown tokens have too, so all tokens
-sum to one in every state. A text is traversed once from left to right; as a state is given by
-the two tokens before, a text's states, arcs and failures are found for all its tokens at once.
-
-Tokens with at least one `HEAD`-th of all occurrences, of which there can't be more than
-`HEAD`, go to the executors; the others' counts are joined to the texts' rare tokens by
-shuffle and added to the sums, which is exact since the logarithms add up.
+Training texts are counted whole: every word, pair and triple of tokens that they hold is in
+the model, however rare, so the model grows with the corpus. Words, pairs and the start are
+states, known by their last tokens. A state's arc for a token that followed it carries the
+smoothed log-probability, (count + MASS * p(token | shorter state)) / (visits + MASS); its failure
+arc to the state one token shorter carries log(MASS / (visits + MASS)), what the arcs leave
+over. At the root a token has its add-one probability, which unknown tokens have too, so all
+tokens sum to one in every state. A text is traversed once from left to right; as a state is
+given by the two tokens before, a text's states, arcs and failures are found for all its
+tokens at once.
+
+The automaton is never in one place. Texts are tokenised once and written in blocks of about
+`BLOCK` tokens. A block asks for its distinct n-grams, by sorted 64-bit hashes, with how often
+its training texts have them; the sorted hashes are cut into ranges (buckets), a bucket sums
+up over the blocks and answers each with the totals, and the answers meet the block's texts
+again. So hot words and copied texts are summed before the shuffle, every bucket holds
+about `BUCKET` hashes at any size of the corpus, and nothing but two numbers comes to the
+driver. What is shuffled is six to seven bytes for each n-gram that a block has; with more
+blocks than hashes in a slice (beyond some 10^12 tokens) a row's overhead adds to that.
 
 Defined cases: null text is empty and has just the end token; repeated rows are
 scored and trained on once each; with no training text every token has probability
-1; an empty table gives no rows; other columns are ignored.
+1; an empty table gives no rows; other columns are ignored; a very long text is a
+block of its own, in memory linear in its length.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batches, read, table, text_of
+from .common import ascii_lower, read, table, text_of
 
-#: N-grams of the automaton make up at least this share of all tokens (one in so many).
-NGRAMS = 1 << 17
-#: Tokens sent to the executors have at least this share of all occurrences, and at most TOKEN_BYTES bytes.
-HEAD = 1 << 20
-TOKEN_BYTES = 64
 #: The end token; no word holds white space.
 END = b"\n"
-DISCOUNT = 0.75
-FLUSH = 300_000
-#: Places of a task's texts that are counted in one go.
-BLOCK = 1 << 21
+#: What a state's failure arc weighs, in visits, for words and for pairs.
+MASS = (3000.0, 5.0)
+#: Tokens of a block, and hashes of a bucket as blocks ask for them, about.
+BLOCK, BUCKET = 1 << 21, 1 << 18
+#: Stands for the place before a text.
+START = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[bytes]:
     return [*ascii_lower(text).split(), END]
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n) over the whole texts, as a written table."""
-    schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
+class Places(dict):
+    """Words by their first occurrence."""
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in source:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) >= FLUSH:
-                    yield from batches(counts.items(), schema)
-                    counts = Counter()
-        yield from batches(counts.items(), schema)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    return table(docs.select(text_of()).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte by byte of their places, so that high bytes, which are alike, lie together."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of ``wanted`` in sorted ``keys``, -1 for those that aren't there."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
 
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
-def pair_keys(ids: np.ndarray, width: int) -> np.ndarray:
-    """Of each token: the key of it and the one before it (the start's id is ``width`` - 1), -1 where either is not frequent."""
-    before = np.append(width - 1, ids[:-1])
-    return np.where((before >= 0) & (ids >= 0), before * width + ids, -1)
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as their differences."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
 
-def triple_keys(pairs: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
-    """Of each token: the key of the pair before it and it, -1 where that pair or the one it makes is not frequent. ``pairs``: places of each token's pair."""
-    before = np.append(-1, pairs[:-1])
-    return np.where((before >= 0) & (pairs >= 0), before * width + ids, -1)
 
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
 
-def count_ngrams(docs: DataFrame, words: list[bytes], pairs: np.ndarray | None = None) -> DataFrame:
-    """(gram, n): pairs of ``words`` by `pair_keys`, or with sorted keys of ``pairs`` their triples by `triple_keys`."""
-    width = len(words) + 1
-    sent = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, pairs))
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, known = sent.value
-        held, size = [], 0
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes; their first byte says in how many."""
+    out = counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+    return bytes([out.itemsize]) + planes(out)
 
-        def counted() -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
 
-        for batch in source:
-            for text in batch.column(0).to_pylist():
-                ids = np.array([place.get(t, -1) for t in tokens(text)])
-                keys = pair_keys(ids, width)
-                if known is not None:
-                    keys = triple_keys(find(known, keys), ids, width)
-                held.append(keys[keys >= 0])
-                size += len(held[-1])
-                if size >= BLOCK:
-                    yield counted()
-                    held, size = [], 0
-        if size:
-            yield counted()
-
-    return docs.select(text_of()).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """The backoff automaton over ``words``: arcs of pairs and triples, failures of words and pairs; words have their root logs elsewhere."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], texts: int, total: int, kinds: int):
-        """``counts`` of the words; ``pairs`` and ``triples`` are sorted keys with their counts."""
-        self.width = width = len(words) + 1
-        self.log_total = float(np.log10(total + kinds + 1))
-        unigram = (counts + 1) / (total + kinds + 1)
-        leaving = np.append(counts, texts).astype(float)
-        self.pairs, n = pairs
-        first, second = self.pairs // width, self.pairs % width
-        own = (n - DISCOUNT) / leaving[first]
-        rest = 1 - np.bincount(first, own, width)
-        p2 = own + rest[first] * unigram[second]
-        self.pair_arcs, self.word_failures = np.log10(p2), np.log10(rest)
-        self.triples, m = triples
-        state, third = self.triples // width, self.triples % width
-        own = (m - DISCOUNT) / n[state]
-        rest = 1 - np.bincount(state, own, len(n))
-        shorter = find(self.pairs, second[state] * width + third)  # a frequent triple's pairs are frequent
-        self.triple_arcs, self.pair_failures = np.log10(own + rest[state] * p2[shorter]), np.log10(rest)
-
-    def walk(self, ids: np.ndarray, root: np.ndarray) -> float:
-        """Log-probability of a token sequence: its words' places (-1: not frequent), and ``root``: each token's log at the root."""
-        before = np.append(self.width - 1, ids[:-1])
-        pair = find(self.pairs, pair_keys(ids, self.width))
-        triple = find(self.triples, triple_keys(pair, ids, self.width))
-        state = np.append(-1, pair[:-1])
-        logs = root.copy()
-        failed = (pair < 0) & (before >= 0)
-        logs[failed] += self.word_failures[before[failed]]
-        taken = pair >= 0
-        logs[taken] = self.pair_arcs[pair[taken]]
-        failed = (triple < 0) & (state >= 0)
-        logs[failed] += self.pair_failures[state[failed]]
-        taken = triple >= 0
-        logs[taken] = self.triple_arcs[triple[taken]]
-        return float(logs.sum())
-
-
-def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` by a model of ``training``."""
-    counts = count_tokens(training)
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    is_head = (F.col("n") * HEAD >= total) & (F.octet_length("token") <= TOKEN_BYTES)
-    head = counts.filter(is_head).toArrow()  # at most HEAD rows, since they have a HEAD-th of all tokens each
-    order = np.lexsort((np.array(head["token"].to_pylist(), object), -head["n"].to_numpy())) if len(head) else np.array([], int)
-    amounts = head["n"].to_numpy()[order] if len(head) else np.array([], np.int64)
-    chosen = int((amounts * NGRAMS >= total).sum())
-    names, amounts = [head["token"][i].as_py() for i in order[:chosen].tolist()], amounts[:chosen]
-
-    def frequent(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts; all counts sum to about the tokens, so there are about NGRAMS rows at most."""
-        found = grams.filter(F.col("n") * NGRAMS >= total).toArrow()
-        by_key = np.argsort(found["gram"].to_numpy(), kind="stable")
-        return found["gram"].to_numpy()[by_key], found["n"].to_numpy()[by_key]
-
-    nothing = np.array([], np.int64), np.array([], np.int64)
-    pairs = frequent(count_ngrams(training, names)) if names else nothing
-    triples = frequent(count_ngrams(training, names, pairs[0])) if len(pairs[0]) else nothing
-    ends = counts.filter(F.col("token") == F.lit(END)).first()
-    model = Automaton(names, amounts, pairs, triples, ends["n"] if ends else 0, total, kinds)
-    words = docs.sparkSession.sparkContext.broadcast(head.select(["token", "n"]).combine_chunks() if len(head) else pa.table({"token": pa.array([], pa.binary()), "n": pa.array([], pa.int64())}))
-    states = {w: i for i, w in enumerate(names)}
-    sent = docs.sparkSession.sparkContext.broadcast((model, states))
+def from_narrow(data: bytes) -> np.ndarray:
+    return from_planes(data[1:], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[data[0]]).astype(np.int64)
+
+
+def tokenised(rows: DataFrame, most: int = BLOCK) -> DataFrame:
+    """Blocks of texts with ``most`` tokens or one text more, as a written table. ``rows``: doc_id, text, trains, scored.
+
+    ``words`` are the hashes of a block's distinct tokens, ``ids`` each token's place among them.
+    """
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("trains", pa.list_(pa.bool_())), ("scored", pa.list_(pa.bool_())), ("words", pa.binary()), ("ids", pa.binary()), ("train_tokens", pa.int64()), ("train_texts", pa.int64())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() << 33
-        known, (model, states) = words.value, sent.value
-        place = {w: i for i, w in enumerate(known["token"].to_pylist())}
-        logs = np.log10(np.append(known["n"].to_numpy(), 0) + 1.0)
-        state = np.array([states.get(w, -1) for w in known["token"].to_pylist()] + [-1])
+        block = TaskContext.get().partitionId() << 33
+        places, held, ids, size = Places(), [], [], 0
+
+        def done() -> pa.RecordBatch:
+            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in places), np.uint64, len(places))
+            doc_ids, lengths, trains, scored = (list(c) for c in zip(*held, strict=True))
+            learned = [n for n, t in zip(lengths, trains, strict=True) if t]
+            row = (block, doc_ids, lengths, trains, scored, words.tobytes(), planes(np.concatenate(ids)), sum(learned), len(learned))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
         for batch in source:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            columns = [batch.column(i) for i in range(4)]
+            for i in range(batch.num_rows):
+                doc_id, text, trains, scored = (c[i].as_py() for c in columns)
                 parts = tokens(text)
-                ids = np.array([place.get(t, -1) for t in parts])
-                rare = np.flatnonzero(ids < 0)
-                root = np.where(ids >= 0, logs[ids], 0.0)
-                score = model.walk(state[ids], root - model.log_total)
-                tail = Counter(parts[i] for i in rare.tolist())
-                rows.append((part, doc_id, len(parts), len(parts) - len(rare), float(root.sum()) - len(parts) * model.log_total, score, list(tail), list(tail.values())))
-                part += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())), strict=True)], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
-
-    passed = table(docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"))
-    rare = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    sums = rare.join(counts.filter(~is_head), "token").groupBy("row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("_log"))
-    added = F.coalesce("_log", F.lit(0.0))
-    out = passed.drop("rare", "times").join(sums, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + added).alias("base_score"), (F.col("score") + added).alias("score"))
+                ids.append(np.fromiter(map(places.__getitem__, parts), np.uint32, len(parts)))
+                held.append((doc_id, len(parts), trains, scored))
+                size += len(parts)
+                if size >= most:
+                    yield done()
+                    block += 1
+                    places, held, ids, size = Places(), [], [], 0
+        if held:
+            yield done()
+
+    ddl = "block long, doc_ids array<long>, lengths array<long>, trains array<boolean>, scored array<boolean>, words binary, ids binary, train_tokens long, train_texts long"
+    return table(rows.select("doc_id", "text", "trains", "scored").mapInArrow(run, ddl))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Block:
+    """The tokens of a block and the hashes of the n-grams that end at each."""
+
+    def __init__(self, words: bytes, ids: bytes, lengths: list[int]):
+        self.words, self.ids, self.lengths = np.frombuffer(words, np.uint64), from_planes(ids, np.uint32), np.array(lengths, np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[self.starts] = True
+        h = self.words[self.ids]
+        with np.errstate(over="ignore"):
+            before = np.append(START, h[:-1])
+            before[self.first] = START
+            self.pairs = mixed(before * np.uint64(0xD6E8FEB86659FD93) + h)
+            # the pair before a token and the token; a text's first token has no such pair
+            self.triples = mixed(np.append(START, self.pairs[:-1]) * np.uint64(0xA0761D6478BD642F) + h)
+
+    def asked(self, trains: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each length: sorted distinct hashes, and how often training texts have them."""
+        learned = np.repeat(np.array(trains, bool), self.lengths)
+        times = np.bincount(self.ids, learned, len(self.words)).astype(np.int64)
+        order = np.argsort(self.words)
+        out = [(self.words[order], times[order])]
+        for hashes, on in ((self.pairs, learned), (self.triples[~self.first], learned[~self.first])):
+            # sorted with the training mark in the lowest bit, which sorts faster than by places
+            marked = np.sort((hashes & ~np.uint64(1)) | on)
+            keys = marked & ~np.uint64(1)
+            begins = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+            sums = np.append(0, np.cumsum(marked & np.uint64(1), dtype=np.int64))
+            out.append((keys[begins], np.diff(sums[np.append(begins, len(keys))])))
+        return out
+
+    def logs(self, totals: list[np.ndarray], total: int, kinds: int, texts: int, mass: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: its count in training, its log at the root, and its log by the walk. ``totals``: training counts of what `asked` gave."""
+        ranks = np.empty(len(self.words), np.int64)
+        ranks[np.argsort(self.words)] = np.arange(len(self.words))
+        ones = totals[0][ranks][self.ids]
+        twos = totals[1][np.unique(self.pairs & ~np.uint64(1), return_inverse=True)[1]]
+        threes = np.zeros(len(ones), np.int64)
+        threes[~self.first] = totals[2][np.unique(self.triples[~self.first] & ~np.uint64(1), return_inverse=True)[1]]
+        visits = np.append(texts, ones[:-1])
+        visits[self.first] = texts
+        root = (ones + 1) / (total + kinds + 1)
+        log_root = np.log10(root)
+        # every token that follows a word or a pair is counted, so visits are the counts of the state's own n-gram
+        p2, log2 = _walked(twos, visits, mass[0], root, log_root)
+        visits = np.append(0, twos[:-1])
+        visits[self.first] = 0
+        return ones, log_root, _walked(threes, visits, mass[1], p2, log2)[1]
+
+
+def _walked(times: np.ndarray, visits: np.ndarray, mass: float, shorter: np.ndarray, log_shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities and logs in states of ``visits``: the arc where it is there, else the failure and what the shorter state gives."""
+    arc = times > 0
+    p = np.where(arc, times + mass * shorter, mass * shorter) / (visits + mass)
+    return p, np.where(arc, np.log10(p), np.log10(mass / (visits + mass)) + log_shorter)
+
+
+def ask(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, hashes, times): each block's distinct n-grams, cut at equal ranges of hashes; lengths have buckets of their own."""
+    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("times", pa.binary())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for i in range(batch.num_rows):
+                block, lengths, trains, words, ids = (batch.column(c)[i].as_py() for c in range(5))
+                for k, (hashes, times) in enumerate(Block(words, ids, lengths).asked(trains)):
+                    cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
+                    used = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
+                    columns = ([k * buckets + b for b, _, _ in used], [block] * len(used), [packed(hashes[s:e]) for _, s, e in used], [narrow(times[s:e]) for _, s, e in used])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return blocks.select("block", "lengths", "trains", "words", "ids").mapInArrow(run, "bucket int, block long, hashes binary, times binary")
+
+
+def answers(asked: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, totals, kinds), as a written table: each block's slices with their sums over all blocks; ``kinds`` counts a bucket's trained words, once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        hashes = [unpacked(x.as_py()) for x in rows["hashes"]]
+        keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = np.bincount(inverse, np.concatenate([from_narrow(x.as_py()) for x in rows["times"]]), len(keys)).astype(np.int64)
+        ends = np.cumsum([len(x) for x in hashes])
+        totals = [narrow(sums[part]) for part in np.split(inverse, ends[:-1])]
+        words = int((sums > 0).sum()) if rows["bucket"][0].as_py() < buckets else 0
+        return pa.table({"block": rows["block"], "bucket": rows["bucket"], "totals": pa.array(totals, pa.binary()), "kinds": pa.array([words] + [0] * (len(totals) - 1), pa.int64())})
+
+    return table(asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, totals binary, kinds long"))
+
+
+def score_rows(rows: DataFrame, mass: tuple[float, float] = MASS) -> DataFrame:
+    """`score_documents` over one table of doc_id, text, trains (the text is learned from) and scored (it is in the result)."""
+    blocks = tokenised(rows)
+    # blocks ask for 1.5 n-grams a token, about
+    size, total, texts = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum("train_tokens"), F.sum("train_texts")).first()
+    size, total, texts = size or 0, total or 0, texts or 0
+    buckets = 1 + 3 * size // (2 * BUCKET)
+    answered = answers(ask(blocks, buckets), buckets)
+    kinds = answered.agg(F.sum("kinds")).first()[0] or 0
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def walk(texts_: pa.Table, totals: pa.Table) -> pa.Table:
+        doc_ids, lengths, scored, words, ids = (texts_[c][0].as_py() for c in ("doc_ids", "lengths", "scored", "words", "ids"))
+        slices: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for bucket, data in sorted(zip(totals["bucket"].to_pylist(), totals["totals"].to_pylist(), strict=True)):
+            slices[bucket // buckets].append(from_narrow(data))
+        block = Block(words, ids, lengths)
+        times, root, logs = block.logs([np.concatenate(s) for s in slices], total, kinds, texts, mass)
+        sums = [np.add.reduceat(x, block.starts) for x in ((times > 0).astype(np.int64), root, logs)]
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(lengths, pa.int64()), *map(pa.array, sums)], schema=schema).filter(pa.array(scored))
+
+    met = blocks.select("block", "doc_ids", "lengths", "scored", "words", "ids").groupBy("block").cogroup(answered.groupBy("block"))
+    out = met.applyInArrow(walk, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _rows(docs: DataFrame, trains: Column, scored: bool) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"), F.lit(scored).alias("scored"))
+
+
+def score_documents(docs: DataFrame, training: DataFrame, mass: tuple[float, float] = MASS) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` by a model of ``training``."""
+    return score_rows(_rows(docs, F.lit(False), True).union(_rows(training, F.lit(True), False)), mass)
 
 
 def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    scored = score_documents(docs, docs.filter(~held_out))
+    scored = score_rows(_rows(read(spark, sf_dir, "documents"), ~held_out, True))
     return scored.withColumn("held_out", held_out)
