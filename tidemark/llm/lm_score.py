@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +44,10 @@ END = b"\n"
 #: What a state's failure arc weighs, in visits, for words and for pairs.
 MASS = (3000.0, 5.0)
 #: Tokens of a block, and hashes of a bucket as blocks ask for them, about.
-BLOCK, BUCKET = 1 << 21, 1 << 18
+BLOCK, BUCKET = 3 << 19, 1 << 19
 #: Stands for the place before a text.
 START = np.uint64(0x9E3779B97F4A7C15)
+ZSTD, UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -61,13 +63,21 @@ class Places(dict):
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Integers byte by byte of their places, so that high bytes, which are alike, lie together."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Integers byte by byte of their places, each place compressed where that makes it shorter, after the number of integers and the parts' lengths."""
+    parts = [x.tobytes() for x in values.view(np.uint8).reshape(len(values), values.itemsize).T]
+    parts = [min(x, ZSTD.compress(x), key=len) for x in parts]
+    return b"".join([np.array([len(values), *map(len, parts)], np.uint32).tobytes(), *parts])
 
 
 def from_planes(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    count, *lengths = np.frombuffer(data, np.uint32, size + 1).tolist()
+    out, at = np.empty((count, size), np.uint8), 4 * (size + 1)
+    for i, n in enumerate(lengths):
+        part = data[at : at + n]
+        out[:, i] = np.frombuffer(part if n == count else UNZSTD.decompress(part), np.uint8)
+        at += n
+    return out.reshape(-1).view(kind)
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -106,7 +116,7 @@ def tokenised(rows: DataFrame, most: int = BLOCK) -> DataFrame:
             words = np.fromiter((xxhash.xxh64_intdigest(w) for w in places), np.uint64, len(places))
             doc_ids, lengths, trains, scored = (list(c) for c in zip(*held, strict=True))
             learned = [n for n, t in zip(lengths, trains, strict=True) if t]
-            row = (block, doc_ids, lengths, trains, scored, words.tobytes(), planes(np.concatenate(ids)), sum(learned), len(learned))
+            row = (block, doc_ids, lengths, trains, scored, planes(words), planes(np.concatenate(ids)), sum(learned), len(learned))
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in source:
@@ -138,7 +148,7 @@ class Block:
     """The tokens of a block and the hashes of the n-grams that end at each."""
 
     def __init__(self, words: bytes, ids: bytes, lengths: list[int]):
-        self.words, self.ids, self.lengths = np.frombuffer(words, np.uint64), from_planes(ids, np.uint32), np.array(lengths, np.int64)
+        self.words, self.ids, self.lengths = from_planes(words, np.uint64), from_planes(ids, np.uint32), np.array(lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.first = np.zeros(len(self.ids), bool)
         self.first[self.starts] = True
