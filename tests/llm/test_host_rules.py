@@ -43,12 +43,29 @@ def test_hosts_decide_between_documents_that_fail_one_rule(spark):
     bad = lambda: prose(rng, 80) + " ### " * 12
     rows = [(i, bad() if i % 10 < 9 else prose(rng, 90), "bad") for i in range(200)] + [(1000 + i, bad() if i % 50 == 0 else prose(rng, 90), "good") for i in range(400)] + [(5000, bad(), "small")]
     rows += [(6000 + i, prose(rng, 90), f"host{i % 20}") for i in range(200)]
-    kept = {r["doc_id"] for r in keep_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    kept = {r["doc_id"] for r in keep_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_rate=0.5).collect()}
     assert not any(i < 200 and i % 10 < 9 and i in kept for i in range(200))
     assert all(i in kept for i in range(9, 200, 10)) and all(1000 + i in kept for i in range(400))
     assert 5000 in kept  # one document says little about its host
 
 
+def test_a_bad_host_among_good_ones_loses_what_fails_one_rule(spark):
+    """With the production parameters; a new host is judged like the corpus, which is good here."""
+    rng = random.Random(4)
+    text = lambda bad: prose(rng, 80) + " ### " * 12 if bad else prose(rng, 90)
+    rows = [(i, text(i % 4 == 0), "bad") for i in range(200)] + [(1000 + i, text(i % 40 == 0), f"good{i % 10}") for i in range(2000)] + [(5000, text(True), "new")]
+    kept = {r["doc_id"] for r in keep_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, _, _ in rows} - kept == set(range(0, 200, 4))
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(spark):
+    rng = random.Random(5)
+    good = [prose(rng, 90) for _ in range(3)]
+    rows = [(1, good[0], "a"), (1, "short", "a"), (1, None, "a"), (None, good[1], "a"), (None, "short", None), (None, good[2], None), (1, good[0], "a")]
+    kept = keep_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["text"] for r in kept) == sorted([good[0], *good])
+
+
 def test_edge_cases(wide, empty, rows):
     kept = keep_documents(wide)
     assert kept.columns == wide.columns
