@@ -53,7 +53,7 @@ def test_a_bad_host_among_good_ones_loses_what_fails_one_rule(spark):
     """With the production parameters; a new host is judged like the corpus, which is good here."""
     rng = random.Random(4)
     text = lambda bad: prose(rng, 80) + " ### " * 12 if bad else prose(rng, 90)
-    rows = [(i, text(i % 4 == 0), "bad") for i in range(200)] + [(1000 + i, text(i % 40 == 0), f"good{i % 10}") for i in range(2000)] + [(5000, text(True), "new")]
+    rows = [(i, text(i % 4 == 0), "bad") for i in range(200)] + [(1000 + i, text(i % 41 == 0), f"good{i % 10}") for i in range(2000)] + [(5000, text(True), "new")]
     kept = {r["doc_id"] for r in keep_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert {i for i, _, _ in rows} - kept == set(range(0, 200, 4))
 

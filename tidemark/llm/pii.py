@@ -5,26 +5,30 @@ counts). They always stay. Candidates are wider: written-out addresses, numbers
 country code, digit runs that fail the check, bracketed dots. Labelers vote on every span,
 base or candidate: the base pattern, the format, a gazetteer of cue words before it,
 the characters around it, and a cue of secrets, which votes against. Expectation-
-maximisation over the counts of vote patterns estimates each labeler's reliability for
-each kind, the posteriors train a logistic classifier of spans by kind, and candidates
-that it accepts are added.
+maximisation over the counts of vote patterns of all documents estimates each labeler's
+reliability for each kind. A logistic classifier for each kind then learns the posteriors from
+what the labelers don't look at as such: the span's shape, length, digits and end, whether its
+checksum holds, the words before it and the characters beside it, hashed to `FEATURES` places. It
+is fitted on at most `SAMPLE` spans of a kind and side, the first by a hash, and scores every
+candidate; those over `ACCEPT` are added.
 
 Matching, voting and classifying are built-in expressions over one pass of the text;
 what is written and counted is narrow. The vote patterns are at most 3^5 for each
-kind, whatever the input, and only their counts come to the driver. Patterns are written so
-that they scan a text in linear time: runs are possessive and start only where a run can.
+kind, whatever the input; their counts and the sample come to the driver. Patterns are written so
+that they scan a text in linear time: runs are possessive and start only where a run can. A
+kind's base and wide forms are one pattern, so its matches never overlap.
 
 Spans are ``kind:start:end`` in code points, end exclusive, by kind (email, ip, card,
 phone) and start. Defined cases: null text is empty and has no spans; a span that
-overlaps one of its kind is not added; repeated rows have equal spans; an empty table
-gives no rows; other columns are ignored. A text's candidates of a kind are each held
-against its base spans of that kind, which costs their product.
+overlaps one of its kind is not added, nor one in a number that fails the base check; repeated
+rows have equal spans; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +43,14 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Other written forms. Where one touches a base form, the base form's match comes first or the wide one isn't tried.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]\x20?(?i:at)\x20?[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?(?i:dot)\x20?[\])]\x20?)[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?![0-9])",
-    "card": BASE["card"],
+    "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++\x20?[\[(]\x20?(?i:at)\x20?[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?(?i:dot)\x20?[\])]\x20?)[A-Za-z0-9-]++)++(?![A-Za-z0-9._%+-]*+@)",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?!\.?[0-9])",
     "phone": r"(?<![0-9+A-Za-z])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
+#: SQL: whether a match ``x`` has the base form.
+IS_BASE = {"email": "contains(x.v, '@')", "ip": "NOT contains(x.v, '[')", "card": "true", "phone": "startswith(x.v, '+')"}
 #: A text without it has no match of either pattern.
 NEEDS = {"email": r"[@\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
 CUES = {
@@ -67,8 +73,12 @@ BEFORE, AFTER = 24, 1
 BLOCK = 64
 _SPANS = "array<struct<s: int, e: int, v: string, b: string, a: string>>"
 LABELERS = ("pattern", "format", "cue", "surround", "secret")
+#: P(vote 1 | true) and P(vote 1 | false) of the base pattern, which aren't estimated: its checks are definitions, and one in ten numbers passes Luhn's.
+PATTERN_RATES = (0.98, 0.1)
 #: Candidates with a probability over this are added.
 ACCEPT = 0.8
+#: Places of hashed features, and spans of a kind and side (base or candidate) that the classifier is fitted on at most.
+FEATURES, SAMPLE = 1024, 4000
 
 
 def _match_columns(df: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -106,18 +116,38 @@ CHECK = {
 }
 
 
+def _features(kind: str) -> str:
+    """SQL: places of the features of a match ``x``."""
+
+    def beside(char: str) -> str:
+        return rf"regexp_replace(regexp_replace({char}, r'[\p{{L}}]', 'a'), '[0-9]', '9')"
+
+    named = [
+        "left(regexp_replace(regexp_replace(x.v, '[0-9]+', '9'), '[A-Za-z]+', 'a'), 32)",
+        "least(length(x.v), 40)",
+        "length(regexp_replace(x.v, '[^0-9]', ''))",
+        "left(x.v, 1)",
+        r"lower(regexp_extract(x.v, '[A-Za-z]*$', 0))",
+        r"regexp_extract(lower(x.b), r'([\p{L}]+)[^\p{L}]*$', 1)",
+        r"regexp_extract(lower(x.b), r'([\p{L}]+)[^\p{L}]+[\p{L}]+[^\p{L}]*$', 1)",
+        beside("right(x.b, 1)"),
+        beside("x.a"),
+        f"string({CHECK[kind]})" if kind == "card" else "''",
+    ]
+    return "array(" + ", ".join(f"int(pmod(xxhash64({i}, {f}), {FEATURES}))" for i, f in enumerate(named)) + ")"
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """Of each row: doc_id, the base spans and the candidates, both arrays of (kind, s, e, pattern), ``pattern`` being the labelers' votes."""
+    """Of each row: doc_id, the base spans and the candidates, both arrays of (kind, s, e, pattern, f): ``pattern`` being the labelers' votes, ``f`` the features."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    df = _match_columns(df, {f"m_{k}": (k, BASE[k]) for k in KINDS} | {f"w_{k}": (k, WIDE[k]) for k in KINDS if k != "card"}).drop("t")
-    df = df.select("*", *[F.expr(f"filter(m_{k}, x -> {CHECK[k]})").alias(f"b_{k}") for k in KINDS])
-    other = {k: f"filter(m_{k}, x -> NOT ({CHECK[k]}))" if k == "card" else f"w_{k}" for k in KINDS}
-    df = df.select("*", *[F.expr(f"filter({other[k]}, x -> NOT exists(b_{k}, b -> b.s < x.e AND x.s < b.e))").alias(f"c_{k}") for k in KINDS])
+    df = _match_columns(df, {f"m_{k}": (k, f"(?:{WIDE[k]})|(?:{BASE[k]})" if k in WIDE else BASE[k]) for k in KINDS}).drop("t")
+    df = df.select("*", *[F.expr(f"filter(m_{k}, x -> {IS_BASE[k]} AND {CHECK[k]})").alias(f"b_{k}") for k in KINDS])
+    df = df.select("*", *[F.expr(f"filter(m_{k}, x -> NOT ({CHECK[k] if k == 'card' else IS_BASE[k]}))").alias(f"c_{k}") for k in KINDS])
 
     def voted(kind: str, side: str, base: int) -> str:
-        votes = f"""concat({base}, IF(x.v rlike r'{FORMAT[kind]}', 1, 0), IF(x.b rlike r'{CUES[kind]}', 1, 2),
-            IF(NOT x.b rlike r'[\\p{{L}}0-9_=\\x22]$' AND NOT x.a rlike r'[\\p{{L}}0-9_\\x22]', 1, 0), IF(x.b rlike r'{SECRET}', 0, 2))"""
-        return f"transform({side}_{kind}, x -> named_struct('kind', {KINDS.index(kind)}, 's', x.s, 'e', x.e, 'pattern', {votes}))"
+        votes = rf"""concat({base}, IF(x.v rlike r'{FORMAT[kind]}', 1, 0), IF(x.b rlike r'{CUES[kind]}', 1, 2),
+            IF(NOT x.b rlike r'[\p{{L}}0-9_=\x22]$' AND NOT x.a rlike r'[\p{{L}}0-9_\x22]', 1, 0), IF(x.b rlike r'{SECRET}', 0, 2))"""
+        return f"transform({side}_{kind}, x -> named_struct('kind', {KINDS.index(kind)}, 's', x.s, 'e', x.e, 'pattern', {votes}, 'f', {_features(kind)}))"
 
     base = ", ".join(voted(k, "b", 1) for k in KINDS)
     # the base pattern has no say on other forms; what failed its check it votes against
@@ -136,6 +166,9 @@ def estimate(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float]
         share = (sum(n * post[p] for p, n in counts.items()) + 1) / (sum(counts.values()) + 2)
         rates = []
         for j in range(len(LABELERS)):
+            if j == 0:
+                rates.append(PATTERN_RATES)
+                continue
             sides = []
             for true in (True, False):
                 w = {p: n * (post[p] if true else 1 - post[p]) for p, n in counts.items() if p[j] != "2"}
@@ -150,36 +183,46 @@ def estimate(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float]
     return post, rates
 
 
-def classifier(counts: dict[str, int], post: dict[str, float], epochs: int = 300) -> list[float]:
-    """Logistic regression of the posteriors on the votes: bias and a weight for each labeler's 1 (+) or 0 (-)."""
-    total = sum(counts.values())
-    weights = [0.0] * (len(LABELERS) + 1)
-    rows = [([1.0, *({"1": 1.0, "0": -1.0, "2": 0.0}[v] for v in p)], post[p], n / total) for p, n in counts.items()]
+def classifier(features: np.ndarray, target: np.ndarray, weight: np.ndarray, epochs: int = 300) -> np.ndarray:
+    """Logistic regression of the posteriors ``target`` on rows of feature places; the last weight is the bias."""
+    w, squares = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-8)
+    x = np.concatenate([features, np.full((len(features), 1), FEATURES)], 1)
+    share = weight / weight.sum()
     for _ in range(epochs):
-        grad = [0.0] * len(weights)
-        for x, y, share in rows:
-            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x, strict=True))))
-            for j, a in enumerate(x):
-                grad[j] += share * (y - p) * a
-        weights = [w + 2.0 * (g - 1e-4 * w) for w, g in zip(weights, grad, strict=True)]
-    return weights
-
-
-def accepted_patterns(found: DataFrame) -> dict[int, list[str]]:
-    """For each kind, the vote patterns of candidates that the classifier accepts. ``found``: the written spans."""
-    both = found.select(F.explode(F.concat("base", "wide")).alias("x")).groupBy("x.kind", "x.pattern").count().collect()
-    out: dict[int, list[str]] = {}
+        p = 1 / (1 + np.exp(-w[x].sum(1)))
+        grad = np.bincount(x.ravel(), np.repeat(share * (target - p), x.shape[1]), len(w)) - 1e-4 * np.append(w[:-1], 0)
+        squares += grad**2
+        w += 0.3 * grad / np.sqrt(squares)
+    return w
+
+
+def classifiers(found: DataFrame) -> dict[int, np.ndarray]:
+    """The weights of each kind that has spans. ``found``: the written spans."""
+    each = found.select(F.explode(F.concat("base", "wide")).alias("x")).select("x.*")
+    both = each.groupBy("kind", "pattern").count().collect()
+    out: dict[int, np.ndarray] = {}
     for kind in range(len(KINDS)):
         counts = {r["pattern"]: r["count"] for r in both if r["kind"] == kind}
-        if counts:
-            weights = classifier(counts, estimate(counts)[0])
-            score = lambda p, w=weights: w[0] + sum(a * {"1": 1, "0": -1, "2": 0}[v] for a, v in zip(w[1:], p, strict=True))
-            bar = math.log(ACCEPT / (1 - ACCEPT))
-            # a candidate needs votes besides the classifier's bias: at least two labelers for it and no secret
-            out[kind] = [p for p in counts if p[0] != "1" and p.count("1") >= 2 and p[-1] != "0" and score(p) > bar]
+        if not counts:
+            continue
+        post, _ = estimate(counts)
+        rows = []
+        for side in (F.col("pattern").startswith("1"), ~F.col("pattern").startswith("1")):
+            total = sum(n for p, n in counts.items() if p.startswith("1") == (not rows))
+            part = each.filter((F.col("kind") == kind) & side).orderBy(F.xxhash64("f", "s", "pattern"), "f", "s").limit(SAMPLE).select("pattern", "f").collect()
+            rows.append([(r["f"], post[r["pattern"]], total / len(part)) for r in part])
+        f, target, weight = (np.array(c) for c in zip(*rows[0], *rows[1], strict=True))
+        out[kind] = classifier(f, target, weight)
     return out
 
 
+def accepts(weights: dict[int, np.ndarray]) -> str:
+    """SQL: whether the classifier of its kind accepts a candidate ``x``."""
+    bar = math.log(ACCEPT / (1 - ACCEPT))
+    by_kind = [f"WHEN {k} THEN aggregate(x.f, {w[-1]:.6f}D, (a, j) -> a + transform(split('{','.join(f'{v:.5g}' for v in w[:-1])}', ','), v -> CAST(v AS DOUBLE))[j]) > {bar:.6f}D" for k, w in weights.items()]
+    return f"CASE x.kind {' '.join(by_kind)} ELSE false END" if by_kind else "false"
+
+
 def _joined(spans_: Column) -> Column:
     name = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.array_sort(F.transform(spans_, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
@@ -189,9 +232,7 @@ def _joined(spans_: Column) -> Column:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
     found = table(spans(docs))
-    accepted = [F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern")) for k, ps in accepted_patterns(found).items() for p in ps]
-    fits = F.array(*accepted) if accepted else F.lit(None).cast("array<struct<kind: int, pattern: string>>")
-    added = F.filter("wide", lambda x: F.coalesce(F.array_contains(fits, F.struct(x["kind"].alias("kind"), x["pattern"].alias("pattern"))), F.lit(False)))
+    added = F.expr(f"filter(wide, x -> {accepts(classifiers(found))})")
     counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.withColumn("added", added).select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
