@@ -87,6 +87,49 @@ def test_every_placement_of_substitutions_that_identity_admits_is_found(length):
     assert length < 13 or Index([(1, h(item * 4))]).overlaps(h(every_fifth), 13, 0.8)
 
 
+def test_regions_of_one_diagonal_are_each_extended():
+    rng = random.Random(8)
+    h = lambda t: token_hashes(" ".join(t), Hashes())
+    item = words(rng, 70)
+    for head in (item[:12], [f"y{i}" for i in range(12)]):
+        text = [*head, *(f"x{i}" for i in range(20)), *item[32:62]]
+        assert Index([(3, h(item))]).overlaps(h(text), 13, 0.8) == [(3, 32, 30, 30)]
+
+
+def brute_contaminated(tokens, item, min_tokens, identity):
+    """Whether any stretch of any diagonal has the identity, by all starts and ends."""
+    least = min(min_tokens, len(item))
+    for shift in range(least - len(item), len(tokens) - least + 1):
+        lo, hi = max(0, shift), min(len(tokens), shift + len(item))
+        sums = [0, *itertools.accumulate(int(tokens[i] == item[i - shift]) for i in range(lo, hi))]
+        if any(sums[e] - sums[b] >= identity * (e - b) - 1e-9 for b in range(len(sums)) for e in range(b + least, len(sums))):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_overlaps_match_all_stretches_of_all_diagonals(seed):
+    """Random texts with one or two damaged regions of an item, often on one diagonal: the same contaminated set as by brute force."""
+    rng = random.Random(seed)
+    both = [0, 0]
+    for _ in range(150):
+        item = [f"t{rng.randrange(60)}" for _ in range(rng.randrange(6, 60))]
+        text = [f"t{rng.randrange(60)}" for _ in range(rng.randrange(0, 15))]
+        rate = rng.choice((0.0, 0.1, 0.2, 0.3))
+        for _ in range(rng.randrange(0, 3)):
+            start = rng.randrange(len(item))
+            part = item[start : start + rng.randrange(5, 40)]
+            text += [f"t{rng.randrange(60)}" if rng.random() < rate else w for w in part]
+            text += [f"t{rng.randrange(60)}" for _ in range(rng.randrange(0, 25))]
+        if rng.random() < 0.5:  # two regions in place
+            text = [w if i % 30 < 12 or rng.random() > rate else "q" for i, w in enumerate(item)]
+        x, y = (token_hashes(" ".join(t), Hashes()) for t in (text, item))
+        want = brute_contaminated(text, item, 13, 0.8)
+        assert bool(Index([(1, y)]).overlaps(x, 13, 0.8)) == want
+        both[want] += 1
+    assert min(both) > 20
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, bench, benchmark_df, monkeypatch):
     rng = random.Random(4)
     df = spark.createDataFrame([(i, " ".join([*words(rng, 5), *t.split(), *words(rng, 5)])) for i, t in bench[:6]], "doc_id long, text string")

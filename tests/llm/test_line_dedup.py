@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidemark.llm.line_dedup import common_blocks, dedup_lines, line_hashes, patience, without_blocks
+from tidemark.llm.line_dedup import MIN_WORDS, common_blocks, dedup_lines, line_hashes, patience, without_blocks
 from .conftest import WORDS
 
 
@@ -51,6 +51,63 @@ def test_a_passage_whose_lines_are_older_finds_its_holder(spark):
     assert got == dict(rows[:3]) | {4: rows[3][1].split("\n")[2]}
 
 
+def test_decoys_that_hold_the_lines_one_by_one_hide_no_block(spark):
+    rng = random.Random(12)
+    block = [line(rng, 15) for _ in range(5)]
+    rows = [(i, f"{line(rng)}\n{x}\n{line(rng)}") for i, x in enumerate(block)]
+    rows += [(i, "\n".join([line(rng), *block, line(rng)])) for i in (100, 101)]
+    got = {r["doc_id"]: r["_deleted"] for r in without_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 5 if i == 101 else 0 for i, _ in rows}
+
+
+def brute_deletions(rows, min_words):
+    """Each document's lines in a run of equal adjacent lines with an earlier document, by all pairs of places."""
+    split = {i: [x.strip() for x in t.split("\n")] for i, t in sorted(rows)}
+    out = {}
+    for i, b in split.items():
+        gone = set()
+        for a in (a for k, a in split.items() if k < i):
+            for x, y in ((x, y) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y] and (x == 0 or y == 0 or a[x - 1] != b[y - 1])):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                    n += 1
+                if sum(len(v.split()) for v in b[y : y + n]) >= min_words:
+                    gone |= set(range(y, y + n))
+        out[i] = gone
+    return out
+
+
+def test_recall_against_all_pairs_of_places(spark):
+    """300 documents with shared blocks, their parts and decoy lines: every repeated run, and nothing else; the figures are in the README."""
+    rng = random.Random(13)
+    blocks = [[line(rng, rng.randrange(6, 22)) for _ in range(rng.randrange(2, 7))] for _ in range(40)]
+    rows = []
+    for i in range(300):
+        parts = [line(rng) for _ in range(rng.randrange(1, 5))]
+        for _ in range(rng.randrange(0, 4)):
+            block = rng.choice(blocks)
+            start = rng.randrange(len(block))
+            part = rng.choice([block, block[start:], block[: start + 1], [rng.choice(block)]])
+            parts += [*part, *(line(rng) for _ in range(rng.randrange(0, 3)))]
+        rows.append((i, "\n".join(parts)))
+    got = {r["doc_id"]: r["text"].split("\n") for r in without_blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_deletions(rows, MIN_WORDS)
+    total = found = extra = 0
+    for i, t in rows:
+        before = t.split("\n")
+        # places by the lines that stay: all lines of a document are told apart but for blocks that it has twice
+        kept, gone = iter(got[i]), set()
+        nxt = next(kept, None)
+        for k, x in enumerate(before):
+            if x == nxt:
+                nxt = next(kept, None)
+            else:
+                gone.add(k)
+        total, found, extra = total + len(want[i]), found + len(want[i] & gone), extra + len(gone - want[i])
+    print(f"recall {found / total:.4f} of {total} lines, {extra} others")
+    assert total > 300 and found >= 0.99 * total and extra == 0
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(7)

@@ -1,13 +1,15 @@
 r"""Operator 7: blocks of lines that an earlier document has, found by pairwise alignment.
 
-Every line's hash is linked to the earliest document (smallest doc_id) that has it, and so is
-every shortest run of adjacent lines that reaches ``min_words``, from each line on and up to each
-line; so a passage finds a document that has it as a passage, where its lines alone are older.
-Documents are paired with the documents their lines link to, so a line that n documents
-share makes n - 1 pairs, not n^2, however frequent it is, and rare and frequent lines
-need no threshold between them. A pair's line hashes are aligned by patience diff: lines
-that are unique in both are matched in the longest increasing order, and between and
-around the matches the alignment recurses and grows over equal neighbours. Aligned runs
+What links documents are hashes of lines that are rare enough to mean a passage: every shortest
+run of adjacent lines that reaches ``min_words``, from each line on and up to each line (a line
+alone if it has as many words). A block that is deleted holds such runs from its first line to
+its last, so none is missed, and a short line that many documents have links nothing. Each run
+is linked to the earliest document (smallest doc_id) that has it, and documents are paired with
+those that their runs link to; so a run that n documents share makes n - 1 pairs, not n^2,
+however frequent it is, and no threshold is needed between rare and frequent lines. A pair's
+line hashes are aligned by patience diff: lines that are unique in both are matched in the longest increasing order, and between and
+around the matches the alignment recurses and grows over equal neighbours; blocks in another order are added by
+their runs. Aligned runs
 of at least ``min_words`` words are deleted from the later document. The first occurrence of a line is
 never deleted, so nothing is lost from the corpus.
 
@@ -47,8 +49,8 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
-def run_hashes(hashes: list[int], words: list[int], min_words: int) -> list[int]:
-    """Hashes of the shortest runs of two or more lines with ``min_words`` words, from each line on and up to each line; their ends aren't blank."""
+def runs(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the shortest runs of lines with ``min_words`` words, from each line on and up to each line; their ends aren't blank."""
     sums = np.concatenate([[0], np.cumsum(words)])
     full = np.flatnonzero(np.array(words) > 0)
     start, end = full, np.searchsorted(sums, sums[full] + min_words)  # from each line on
@@ -56,7 +58,7 @@ def run_hashes(hashes: list[int], words: list[int], min_words: int) -> list[int]
     first = np.searchsorted(sums, sums[full + 1] - min_words, "right") - 1  # up to each line
     found += [(i, j + 1) for i, j in zip(first.tolist(), full.tolist(), strict=True) if i >= 0]
     data = np.array(hashes, np.int64).tobytes()
-    return [xxhash.xxh64_intdigest(data[8 * i : 8 * j]) - (1 << 63) for i, j in sorted({(i, j) for i, j in found if j - i > 1})]
+    return [(i, j, xxhash.xxh64_intdigest(data[8 * i : 8 * j]) - (1 << 63)) for i, j in sorted(set(found))]
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -108,8 +110,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Places of ``b`` in aligned runs of at least ``min_words`` words; ``words`` are those of b's lines."""
-    out: list[int] = []
+    """Places of ``b`` in aligned runs of at least ``min_words`` words; ``words`` are those of b's lines.
+
+    An alignment keeps the order of both, so blocks that cross it, or that ``b`` has again, are left over; if enough
+    shared lines are, those in runs that both have are added.
+    """
+    out: set[int] = set()
     run: list[int] = []
     before = (-2, -2)
     for i, j in [*patience(a, b), (-9, -9)]:
@@ -119,11 +125,18 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
             while run and not b[run[0]]:
                 run.pop(0)
             if sum(words[k] for k in run) >= min_words:
-                out += run
+                out.update(run)
             run = []
         run.append(j)
         before = (i, j)
-    return out
+    in_a = set(a)
+    if sum(w for k, (h, w) in enumerate(zip(b, words, strict=True)) if h in in_a and k not in out) >= min_words:
+        known = dict(zip(b, words, strict=True))  # a line that only a has ends every run that b could have
+        shared = {h for _, _, h in runs(a, [known.get(h, min_words) for h in a], min_words)}
+        for i, j, h in runs(b, words, min_words):
+            if h in shared:
+                out.update(range(i, j))
+    return sorted(out)
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -132,15 +145,15 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             both = [line_hashes(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in both], pa.list_(pa.int64())), pa.array([w for _, w in both], pa.list_(pa.int32())), pa.array([run_hashes(h, w, min_words) for h, w in both], pa.list_(pa.int64()))], ["doc_id", "h", "w", "r"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in both], pa.list_(pa.int64())), pa.array([w for _, w in both], pa.list_(pa.int32())), pa.array([[x for _, _, x in runs(h, w, min_words)] for h, w in both], pa.list_(pa.int64()))], ["doc_id", "h", "w", "r"])
 
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # what is joined below is written first, so that the joins' sides are plain shuffles, which adaptive execution splits at hot keys
     seqs = own.mapInArrow(hashed, "doc_id long, h array<long>, w array<int>, r array<long>").filter(F.size("h") > 0)
     seqs = table(seqs.groupBy("doc_id").agg(F.min(F.struct("h", "w", "r")).alias("x")).select("doc_id", "x.h", "x.w", "x.r"))
-    lines = seqs.select("doc_id", F.explode(F.array_distinct(F.concat("h", "r"))).alias("line")).filter(F.col("line") != 0)
-    first = table(lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n"))
-    pairs = table(lines.join(first, "line").filter(F.col("first") < F.col("doc_id")).select("doc_id", "first").distinct())
+    keys = seqs.select("doc_id", F.explode(F.array_distinct("r")).alias("run"))
+    first = table(keys.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n"))
+    pairs = table(keys.join(first, "run").filter(F.col("first") < F.col("doc_id")).select("doc_id", "first").distinct())
     # both texts' hashes meet; a document that many link to is a hot key of the second join
     earlier = seqs.select(F.col("doc_id").alias("first"), F.col("h").alias("a"))
     later = seqs.select("doc_id", F.col("h").alias("b"), "w")
