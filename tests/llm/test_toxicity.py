@@ -78,6 +78,19 @@ def test_held_out_labels_and_other_columns_have_no_say(spark, docs, rows):
 
 
 @pytest.mark.parametrize("labels", [[], [(1, None)], [(1, 1), (2, 1)]])
+def test_equal_texts_with_opposite_labels_give_one_model(spark, monkeypatch):
+    """The label of the smallest doc_id counts, however rows are dealt out."""
+    import tidemark.llm.toxicity as t
+
+    seen = []
+    monkeypatch.setattr(t, "fit", lambda texts, labels: seen.append(sorted(zip(texts, labels, strict=True))))
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(20)] + [(30, "text 50"), (31, "text 50")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 7)) for i in range(20)] + [(30, 1), (30, 0), (31, 1)], "doc_id long, toxic int")
+    for parts in (1, 3, 5):
+        t.train(docs.repartition(parts), labels.repartition(parts))
+    assert seen == [[(f"text {i}", 0) for i in range(7)][:5] + [("text 5", 0), ("text 50", 0), ("text 6", 0)]] * 3
+
+
 def test_edge_cases(spark, wide, empty, labels):
     table = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = train(wide, table)

@@ -14,7 +14,8 @@ label, texts of at most `SAMPLE_BYTES`, the lowest hashes of the ids); every doc
 scored, whole, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no tokens, no spans and the score of a clean
-text; a null label isn't used; without labels of both kinds all scores are 0;
+text; a null label isn't used; of equal texts the label of the smallest doc_id counts,
+of a doc_id with both labels the clean one; without labels of both kinds all scores are 0;
 repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
 """
 
@@ -40,7 +41,7 @@ SAMPLE_BYTES = 32_768
 #: Tokens of a training sequence.
 SPAN = 64
 #: Training sequences at most, chosen evenly among those without a toxic token.
-SPANS = 24_000
+SPANS = 8_000
 PREFIXES = (3, 4, 5, 6)
 CACHE_WORDS = 400_000
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -87,8 +88,11 @@ def evidence(marginals: np.ndarray) -> tuple[float, float]:
 def marking(docs: list[tuple[list[str], int]]) -> set[str]:
     """Features tied to toxic documents: a likelihood ratio beyond chance among all features, and 95 % precision."""
     seen = [Counter(), Counter()]
+    known: dict[str, list[str]] = {}
     for words, toxic in docs:
-        seen[toxic].update({f for w in words for f in features(w) if f[0] != "s"})
+        own = set(words)
+        known.update((w, [f for f in features(w) if f[0] != "s"]) for w in own - known.keys())
+        seen[toxic].update({f for w in own for f in known[w]})
     n = [sum(1 for _, t in docs if t == k) for k in (0, 1)]
     bar = 2 * math.log(max(2, len(seen[0] | seen[1]))) + 8
     out = set()
@@ -103,7 +107,7 @@ def marking(docs: list[tuple[list[str], int]]) -> set[str]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 12) -> Field:
+def fit(texts: list[str], labels: list[int], epochs: int = 6) -> Field:
     """The field of labelled texts."""
     docs = [(t.split(), y) for t, y in zip(texts, labels, strict=True)]
     if len(set(labels)) < 2:
@@ -212,9 +216,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
     # at most 2 * SAMPLE ids are broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
+    first: dict[str, int] = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"])):
+        first.setdefault(r["text"], r["toxic"])
+    return fit(list(first), list(first.values()))
 
 
 def tag(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataFrame:
