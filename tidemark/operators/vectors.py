@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import batched
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.registry import TRANSLATIONS
 
@@ -34,3 +38,45 @@ def similarity(vector: str | Column, query: Sequence[float]) -> Column:
 def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, ties: str) -> DataFrame:
     """The ``k`` rows most similar to ``query`` by cosine: a scan, and a top-k that each task cuts before the merge."""
     return df.withColumn("similarity", similarity(vector, query)).orderBy(F.desc("similarity"), ties).limit(k)
+
+
+def _units(vectors: list[list[float]], dim: int) -> np.ndarray:
+    """Rows scaled to length 1; vectors of another dimension and zero vectors have no similarity."""
+    out = np.full((len(vectors), dim), np.nan)
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dim:
+            out[i] = v
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.sqrt((out * out).sum(1, keepdims=True))
+
+
+def nearest_each(df: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """(query, id, similarity, place): for each row of ``queries`` the ``k`` rows of ``df`` most similar by cosine, exactly; equal ones by id.
+
+    Queries are held against all rows in blocks of ``block``, which bounds what is sent to executors at once; of each
+    Arrow batch only a query's best ``k`` leave the task (and those as good as the last), and the rest is a top-k by query.
+    """
+    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    ddl = "query long, id long, similarity double"
+    found = None
+    for part in batched(queries.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").toLocalIterator(), block):
+        dim = len(part[0]["v"])
+        sent = df.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in part]), _units([r["v"] for r in part], dim)))
+
+        def best(source: Iterator[pa.RecordBatch], sent=sent, dim=dim) -> Iterator[pa.RecordBatch]:
+            names, wanted = sent.value
+            for batch in source:
+                if not batch.num_rows:
+                    continue
+                ids = batch.column(0).to_numpy()
+                sims = np.nan_to_num(wanted @ _units(batch.column(1).to_pylist(), dim).T, nan=-np.inf)
+                least = -np.partition(-sims, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                q, at = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+                yield pa.RecordBatch.from_pydict({"query": pa.array(names[q]), "id": pa.array(ids[at]), "similarity": pa.array(sims[q, at])})
+
+        some = rows.mapInArrow(best, ddl)
+        found = some if found is None else found.union(some)
+    if found is None:
+        found = df.sparkSession.createDataFrame([], ddl)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("place", place).filter(F.col("place") <= k)
