@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans.catalog import ORACLE_SQL, QUERIES
+from tidemark.plans.catalog_more import ORACLE_SQL, QUERIES
 
 
 def value(x):

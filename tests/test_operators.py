@@ -1,16 +1,18 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.registry import TRANSLATIONS
 from tidemark.operators.dedup import changelog, distinct_on, filtered_distinct, updates
 from tidemark.operators.joins import asof_join, interval_join, versions
 from tidemark.operators.match import match_recognize
 from tidemark.operators.paging import page
-from tidemark.operators.upsert import expired, merged, partition_width, pk_hash
-from tidemark.operators.vectors import center, nearest
+from tidemark.operators.upsert import StateTable, expired, merged, partition_width, pk_hash
+from tidemark.operators.vectors import center, nearest, nearest_each
 from tidemark.plans.cost import Node, shares_scan, stage
 from tidemark.sources.connectors import Connector
 from tidemark.sources.discovery import avro_schema, files_format
@@ -190,3 +192,80 @@ def test_connectors(spark, tmp_path):
     for options in ({"connector": "print"}, {"connector": "nothing"}, {"connector": "filesystem"}):
         with pytest.raises(ValueError):
             Connector(options).read(spark, schema)
+
+
+def test_a_batch_of_one_key_rewrites_one_bucket(spark, tmp_path):
+    schema = "k long, v string, t long"
+    table = StateTable(spark, str(tmp_path / "s"), schema, ["k"], "newer", "t", buckets=8)
+    table.write(spark.createDataFrame([(k, "a", 1) for k in range(100)], schema))
+    before = table.versions()[1]
+    table.write(spark.createDataFrame([(5, "b", 2), (5, "old", 0)], schema))
+    after = table.versions()[1]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert sum(1 for _ in (tmp_path / "s" / "data" / "v1").glob("_bucket=*")) == 1
+    assert {r["k"]: r["v"] for r in table.read().collect()} == {k: "b" if k == 5 else "a" for k in range(100)}
+    for t in range(3, 6):
+        table.write(spark.createDataFrame([(7, "c", t)], schema))
+    assert table.read().count() == 100 and len(list((tmp_path / "s" / "lists").glob("[0-9]*"))) == 2
+    again = StateTable(spark, str(tmp_path / "s"), schema, ["k"], "newer", "t", buckets=3)
+    again.write(spark.createDataFrame([(7, "d", 9), (200, "new", 1)], schema))
+    assert again.buckets == 8 and again.read().filter("k = 7 AND v = 'd'").count() == 1 and again.read().count() == 101
+    again.write(spark.createDataFrame([], schema))
+    assert again.read().count() == 101
+
+
+def test_nearest_each_matches_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(300, 8))
+    vectors[10] = vectors[20] = vectors[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 8), (902, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for block in (3, 1000):
+        got = {}
+        for r in nearest_each(df, df.filter("id % 50 = 0"), "id", "v", 5, block).collect():
+            got.setdefault(r["query"], {})[r["place"]] = r["id"]
+        for q in range(0, 300, 50):
+            want = sorted(range(300), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))[:5]
+            assert [got[q][p] for p in range(1, 6)] == want
+    assert nearest_each(df, df.limit(0), "id", "v", 5).count() == 0
+
+
+def jdbc(name, table, **more):
+    return Connector({"connector": "jdbc", "url": f"jdbc:derby:memory:{name};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "table-name": table} | {k.replace("_", "-").replace("--", "."): v for k, v in more.items()})
+
+
+@pytest.mark.parametrize(("mode", "want"), [("overwrite", {1: "old", 2: "b", 3: "new"}), ("newer", {1: "a", 2: "b", 3: "new"}), ("ignore", {1: "a", 2: "b", 3: "new"})])
+def test_a_database_sink_upserts_by_key(spark, mode, want):
+    sink = jdbc(f"up_{mode}", "state", sink__upsert_mode=mode)
+    schema = "id long, v string, t long"
+    sink.write(spark.createDataFrame([(1, "a", 5), (2, "b", 5)], schema), "overwrite")
+    batch = spark.createDataFrame([(1, "older", 1), (1, "old", 2), (3, "new", 1)], schema)
+    for _ in range(2):  # a repeated write changes nothing
+        sink.write(batch, "append", keys=["id"], time="t")
+    assert {r["id"]: r["v"] for r in sink.read(spark, None).collect()} == want
+
+
+def test_a_database_table_is_read_in_ranges(spark):
+    sink = jdbc("ranges", "numbers")
+    sink.write(spark.range(100).withColumn("v", F.col("id") * 2), "overwrite")
+    parts = jdbc("ranges", "numbers", scan__partition__column="id", scan__partition__num="4", scan__partition__lower_bound="0", scan__partition__upper_bound="100")
+    df = parts.read(spark, None)
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 100 and df.agg(F.sum("v")).first()[0] == 9900
+    with pytest.raises(ValueError, match="scan.partition"):
+        jdbc("ranges", "numbers", scan__partition__column="id").read(spark, None)
+
+
+def test_records_of_an_upserting_log(spark):
+    at = dt.datetime(2024, 1, 1)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("at", T.TimestampType())])
+    rows = spark.createDataFrame([(b'{"id": 1}', b'{"name": "a"}', at), (b'{"id": 2}', None, at), (None, None, at)], "key binary, value binary, timestamp timestamp")
+    got = Connector({"connector": "upsert-kafka", "key.fields": "id", "timestamp-column": "at"}).records(rows, schema)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", at, False), (2, None, at, True)]
+    assert [r["name"] for r in Connector({"connector": "kafka", "timestamp-column": "at"}).records(rows, schema).collect()] == ["a"]
+
+
+def test_a_print_sink_gives_all_rows(spark, capfd):
+    Connector({"connector": "print"}).write(spark.range(100).withColumn("v", F.lit(None).cast("string")))
+    out = capfd.readouterr().out.splitlines()
+    assert out[0] == "id | v" and len(out) == 101 and out[-1] == "99 | NULL"

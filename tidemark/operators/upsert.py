@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,8 @@ from .dedup import distinct_on
 MODES = ("newer", "ignore", "overwrite")
 
 
-def merged(current: DataFrame, batch: DataFrame, keys: Sequence[str], mode: str, time: str | None = None) -> DataFrame:
-    """``current`` after the rows of ``batch``.
+def merged(current: DataFrame, batch: DataFrame, keys: Sequence[str], mode: str, time: str | None = None, together: str | None = None) -> DataFrame:
+    """``current`` after the rows of ``batch``; rows alike in the column ``together``, one of the keys, meet in one task.
 
     ``newer``: of each key the row with the latest ``time`` stays, of equal times the batch's (tables of
     state). ``ignore``: rows with known keys are left out (streams). ``overwrite``: the batch's row stays.
@@ -22,6 +23,7 @@ def merged(current: DataFrame, batch: DataFrame, keys: Sequence[str], mode: str,
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     both = current.withColumn("_new", F.lit(0)).unionByName(batch.select(current.columns).withColumn("_new", F.lit(1)))
+    both = both.repartition(together) if together else both
     if mode == "newer":
         if time is None:
             raise ValueError("mode newer needs a time")
@@ -34,40 +36,96 @@ def merged(current: DataFrame, batch: DataFrame, keys: Sequence[str], mode: str,
 
 
 class StateTable:
-    """A table of state in a folder. Every write makes a new version and then points to it, so a failed or repeated write leaves the last one whole."""
+    """A table of state in a folder, cut in ``buckets`` by a hash of the key.
 
-    def __init__(self, spark: SparkSession, path: str, schema, keys: Sequence[str], mode: str = "overwrite", time: str | None = None, partition_by: Sequence[str] = ()):
+    A write reads and rewrites the buckets that its rows fall into, and no others: it puts their new files in
+    ``data/v<n>`` and then a list, ``lists/<n>``, that says which version each bucket has. The last
+    list is the table, so a failed or repeated write leaves the one before whole. Buckets are as many as a table is given first;
+    choose them so that one, state over ``buckets``, fits a task.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, keys: Sequence[str], mode: str = "overwrite", time: str | None = None, partition_by: Sequence[str] = (), buckets: int = 64):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.keys, self.mode, self.time, self.partition_by = list(keys), mode, time, list(partition_by)
+        self.keys, self.mode, self.time, self.partition_by, self.buckets = list(keys), mode, time, list(partition_by), buckets
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _at(self, path: str):
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
-        _, root, fs = self._fs()
-        if not fs.exists(root):
+    def _lists(self) -> list[int]:
+        folder, fs = self._at("lists")
+        if not fs.exists(folder):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        jvm = self.spark.sparkContext._jvm
-        done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and done(n))
+        return sorted(int(n) for n in (x.getPath().getName() for x in fs.listStatus(folder)) if n.isdigit())
+
+    def _told(self, number: int) -> dict:
+        path, fs = self._at(f"lists/{number}")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+
+    def versions(self) -> tuple[int, dict[int, int]]:
+        """The number of the last list, -1 where there is none, and the version of each bucket that has rows."""
+        lists = self._lists()
+        if not lists:
+            return -1, {}
+        told = self._told(lists[-1])
+        self.buckets = told["buckets"]
+        return lists[-1], {int(b): v for b, v in told["versions"].items()}
+
+    def _stored(self, versions: dict[int, int]) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/v{v}/_bucket={b}" for b, v in sorted(versions.items())])
 
     def read(self) -> DataFrame:
-        found = self._versions()
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}")
+        return self._stored(self.versions()[1])
 
     def write(self, batch: DataFrame) -> None:
-        found = self._versions()
-        after = merged(self.read(), batch, self.keys, self.mode, self.time)
-        number = found[-1] + 1 if found else 0
-        after.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.path}/v{number}")
-        jvm, _, fs = self._fs()
-        for old in found[:-1]:  # the one that readers may still have open stays
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
+        number, versions = self.versions()
+        number += 1
+        bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return
+        before = self._stored({b: v for b, v in versions.items() if b in set(touched)})
+        # rows of a bucket meet in one task, which resolves its keys and writes one file
+        rows = merged(before.withColumn("_bucket", bucket), batch.withColumn("_bucket", bucket), ["_bucket", *self.keys], self.mode, self.time, "_bucket")
+        rows.write.mode("overwrite").partitionBy("_bucket", *self.partition_by).parquet(f"{self.path}/data/v{number}")
+        self._tell(number, versions | dict.fromkeys(touched, number))
+        self._clean()
+
+    def _tell(self, number: int, versions: dict[int, int]) -> None:
+        """Write a list under another name and rename it, so that readers see all of it or nothing."""
+        (part, fs), (whole, _) = self._at(f"lists/_{number}"), self._at(f"lists/{number}")
+        stream = fs.create(part, True)
+        try:
+            stream.write(bytearray(json.dumps({"buckets": self.buckets, "versions": versions}).encode()))
+        finally:
+            stream.close()
+        if not fs.rename(part, whole):
+            raise RuntimeError(f"write {number} of {self.path} was done by another writer")
+
+    def _clean(self) -> None:
+        """Remove what neither the last list nor the one before, which readers may still have open, names."""
+        lists = self._lists()
+        named = {(v, int(b)) for n in lists[-2:] for b, v in self._told(n)["versions"].items()}
+        data, fs = self._at("data")
+        for version in fs.listStatus(data):
+            v = int(version.getPath().getName()[1:])
+            if v >= lists[-1]:
+                continue
+            if v not in {w for w, _ in named}:
+                fs.delete(version.getPath(), True)
+                continue
+            for x in fs.listStatus(version.getPath()):
+                name = x.getPath().getName()
+                if name.startswith("_bucket=") and (v, int(name[8:])) not in named:
+                    fs.delete(x.getPath(), True)
+        for n in lists[:-2]:
+            fs.delete(self._at(f"lists/{n}")[0], False)
 
     def for_each_batch(self, batch: DataFrame, _: int) -> None:
         """For ``writeStream.foreachBatch``; a batch that is repeated after a failure changes nothing."""

@@ -22,6 +22,7 @@ from ..operators.paging import PAGE_SIZE, Page, page
 from ..operators.upsert import expired
 from ..sources.connectors import SINKS, Connector
 from ..sources.discovery import discover, files_format
+from ..sources.scratch import scratch
 from .analysis import Analysis, Analyzer, Known
 from .cost import Node, stage
 from .hints import Hints
@@ -84,8 +85,8 @@ class Engine:
     """Runs scripts.
 
     ``folders``: where IMPORT finds scripts and data. ``streaming``: sources are read as streams. ``tables``: frames
-    that scripts can read by name. ``log_folder``: where rows given to `append` are kept (shared by all executors); without one, which suits
-    tests, they stay with the driver. Definitions are views: nothing is computed before a query, an export or
+    that scripts can read by name. ``log_folder``: where rows given to `append` are kept (shared by all executors); without one, a new
+    folder beside the session's checkpoints. Definitions are views: nothing is computed before a query, an export or
     `materialize` asks for it, and Catalyst sees through all of them at once.
     """
 
@@ -202,8 +203,7 @@ class Engine:
     def _aggregate_changes(self, table: Table) -> DataFrame:
         """A row for each time that a row of the source changes an aggregation's result for its key.
 
-        Rows arrive in the order of the source's rowtime; without one, in the order in which Spark reads them, which
-        is that of VALUES and of single files.
+        Rows arrive in the order of the source's rowtime. Only rows that the script itself states (VALUES) have an order without one.
         """
         body = table.statement.body
         select, at, by = find(body, "SELECT"), find(body, "FROM"), find(body, "GROUP", "BY")
@@ -215,6 +215,10 @@ class Engine:
             raise ScriptError(f"TO_CHANGELOG: {table.name} is not a plain aggregation of one table", table.statement.line)
         source = self.table(names[0].name)
         keys = [sql(p) for p in split(significant(body[by:])[2:])]
+        leaves = source.df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        stated = all(leaves.apply(i).getClass().getSimpleName() in ("LocalRelation", "OneRowRelation") for i in range(leaves.size()))
+        if not source.rowtime and not stated:
+            raise ScriptError(f"TO_CHANGELOG: {source.name} has no event time, so its changes have no order", table.statement.line)
         order = f"`{source.rowtime}`" if source.rowtime else "`_at`"
         over = f" OVER (PARTITION BY {', '.join(keys)} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         items: list[Token] = []
@@ -523,14 +527,18 @@ class Engine:
         elif connector.kind in SINKS:
             df, kind = self.spark.createDataFrame([], schema), TableType.RELATION
         else:
-            df, kind = self._read(connector, schema), of_connector(connector.kind)
+            kind = of_connector(connector.kind)
+            stamped = [c for c in s.columns if c.metadata == "timestamp"] if connector.kind.endswith(("kafka", "kafka-safe")) else []
+            if stamped or s.primary_key:  # the log's own key and time
+                connector = Connector({"key.fields": ";".join(s.primary_key or [])} | {"timestamp-column": c.name for c in stamped} | dict(connector.options))
+            df = self._read(connector, T.StructType([*schema, *(T.StructField(c.name, self._type(c.type), True) for c in stamped)]))
             for c in s.columns:
-                if c.metadata is not None:
+                if c.metadata is not None and c not in stamped:
                     df = df.withColumn(c.name, self._metadata(c).cast(c.type or "string"))
         rewriter = Rewriter(self)
         for c in s.columns:
             if c.computed is not None:
-                        df = df.withColumn(c.name, F.expr(rewriter.query(lex(c.computed))))
+                df = df.withColumn(c.name, F.expr(rewriter.query(lex(c.computed))))
         order = [c.name for c in s.columns if c.name in df.columns]
         df = df.select(*[F.col(f"`{c}`") for c in order])
         rowtime = s.watermark[0] if s.watermark else next((c.name for c in s.columns if c.metadata == "timestamp"), None)
@@ -544,8 +552,10 @@ class Engine:
         try:
             return connector.read(self.spark, schema if len(schema) else None, self.streaming)
         except AnalysisException as e:
-            if len(schema) and "PATH_NOT_FOUND" in str(e):  # nothing has been written there yet
-                return self.spark.createDataFrame([], schema)
+            if len(schema) and "PATH_NOT_FOUND" in str(e):  # nothing has been written there yet; a folder that is there can be listed again
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(connector.path)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+                return connector.read(self.spark, schema, self.streaming)
             raise
 
     @staticmethod
@@ -796,7 +806,7 @@ class Engine:
         elif needed and not rows.filter(~whole).isEmpty():
             raise ValueError(f"{name}: a row lacks one of {', '.join(needed)}; none was taken")
         # values such as uuid() must not change from one reading to the next
-        rows = self.spark.createDataFrame(rows.collect(), rows.schema) if self.log_folder is None else self._logged(table, rows)
+        rows = self._logged(table, rows)
         table.inserted.append(rows)
         table.df = table.df.unionByName(rows)
         if table.history:
@@ -804,6 +814,8 @@ class Engine:
         self._add(table, replace=True)
 
     def _logged(self, table: Table, rows: DataFrame) -> DataFrame:
+        if self.log_folder is None:
+            self.log_folder = scratch(self.spark, "log")
         path = f"{self.log_folder.rstrip('/')}/{_view(table.name)}/{uuid.uuid4().hex}"
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
@@ -829,9 +841,11 @@ class Engine:
         self._add(table, replace=True)
 
     def execute(self, folder: str | None = None) -> list[Any]:
-        """Exports and inserts, batch after batch; a failure stops all later ones. Streams give their running queries."""
+        """Exports and inserts, batch after batch; a failure stops all later ones, and a batch reads what those before it have written. Streams give their running queries."""
         running = []
-        for batch in self.batches:
+        for number, batch in enumerate(self.batches):
+            if number:
+                self._refresh()
             for kind, action in batch:
                 if kind == "export":
                     table, target, line = action
@@ -839,17 +853,26 @@ class Engine:
                 else:
                     table, rows = action
                     if table.connector is not None:
-                        running.append(table.connector.write(rows, "append", table.source.partitioned_by if table.source else None))
+                        running.append(table.connector.write(rows, "append", table.source.partitioned_by if table.source else None, keys=table.primary_key, time=table.rowtime))
         self.batches = [[]]
         return [r for r in running if r is not None]
 
+    def _refresh(self) -> None:
+        """List the files of all tables with a connector again; definitions over them see the new ones."""
+        for table in self.tables.values():
+            if table.connector is not None and not table.df.isStreaming:
+                leaves = table.df._jdf.queryExecution().analyzed().collectLeaves()
+                for leaf in (leaves.apply(i) for i in range(leaves.size())):
+                    if leaf.getClass().getSimpleName() == "LogicalRelation" and "HadoopFsRelation" in leaf.relation().getClass().getName():
+                        leaf.relation().location().refresh()
+
     def _export(self, table: Table, target: tuple[str, ...], line: int, folder: str | None):
         df = table.df.orderBy(*ordering(table.order)) if table.order and not table.df.isStreaming else table.df
         if target[0] in ("print", "logger", "log"):
             return Connector({"connector": target[0]}).write(df)
         sink = self.tables.get(".".join(target).lower()) or self.tables.get(target[-1].lower())
         if sink is not None and sink.connector is not None:
-            return sink.connector.write(df.select(*[c for c in sink.df.columns if c in df.columns] or df.columns), "append", table.hints.args("partition_key"))
+            return sink.connector.write(df.select(*[c for c in sink.df.columns if c in df.columns] or df.columns), "append", table.hints.args("partition_key"), keys=sink.primary_key, time=sink.rowtime)
         if folder is None:
             raise ScriptError(f"EXPORT to {'.'.join(target)}: no such sink, and no folder is given", line)
         by = table.hints.args("partition_key")

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that all executors share; only where the session names none (tests on one machine) in a local one."""
+    """A new path in the folder that all executors share. Where the session names none, in a local one if everything runs in one process, else it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
