@@ -5,9 +5,11 @@ import re
 import pytest
 
 from tidemark.plans.catalog import QUERIES, engine
+from tidemark.plans.engine import Engine
+from tidemark.plans.table_type import TableType
 
 #: Queries that need Python by nature.
-PYTHON = {"match_recognize", "fn_distributions"}
+PYTHON = {"match_recognize", "fn_distributions", "vector_nearest"}
 
 
 def plan(df):
@@ -62,3 +64,46 @@ def test_temporal_joins_read_the_columns_that_are_named(spark, sf):
     e = engine(spark, sf, "V := DISTINCT orders ON o_custkey ORDER BY o_orderdate DESC; R := SELECT l.o_orderkey, v.o_totalprice FROM orders l JOIN V FOR SYSTEM_TIME AS OF l.o_orderdate v ON l.o_custkey = v.o_custkey;")
     scans = [x.split("ReadSchema")[1] for x in plan(e.query("R")).split("\n") if "FileScan" in x]
     assert len(scans) == 2 and all("o_orderpriority" not in x and "o_orderstatus" not in x for x in scans)
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL '10' MINUTE AND a.ts + INTERVAL '5' MINUTE",
+        "SELECT * FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL '30' MINUTE",
+        "SELECT a.*, b.event_id AS other FROM events a INNER JOIN events AS b ON a.ts - INTERVAL '1' HOUR < b.ts AND a.ts > b.ts WHERE a.value > 100",
+        "SELECT count(*) AS n, b.user_id FROM events a LEFT OUTER JOIN events b ON b.ts + INTERVAL '1' HOUR >= a.ts AND b.ts <= a.ts AND a.user_id = b.user_id GROUP BY b.user_id",
+    ],
+)
+def test_interval_joins_of_scripts_are_binned_and_give_the_same(spark, sf, query):
+    e = engine(spark, sf, f"R := {query};")
+    assert re.search(r"\[.*_bin_\d+_\d+_l", plan(e.query("R"))) and not re.search("NestedLoop|Cartesian", plan(e.query("R")))
+    want = spark.sql(query)
+    assert e.query("R").columns == e._unique(want.columns)
+    assert sorted(map(tuple, e.query("R").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("query", ["SELECT a.event_id FROM events a JOIN events b ON b.ts > a.ts AND a.user_id = b.user_id", "SELECT a.event_id FROM events a FULL JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '1' HOUR", "SELECT a.event_id FROM events a JOIN events b ON a.user_id = b.user_id AND (b.ts > a.ts OR b.ts < a.ts + INTERVAL '1' DAY)"])
+def test_other_joins_are_left_as_they_are(spark, sf, query):
+    assert "_bin_" not in plan(engine(spark, sf, f"R := {query};").query("R"))
+
+
+@pytest.mark.parametrize("select", ["*", "l.*, v.o_totalprice AS price", "l.o_orderkey, v.*", "l.o_orderkey, v.o_totalprice"])
+def test_temporal_joins_of_scripts_compare_no_ranges(spark, sf, select):
+    text = f"V := DISTINCT orders ON o_custkey ORDER BY o_orderdate DESC; R := SELECT {select} FROM orders l LEFT JOIN V FOR SYSTEM_TIME AS OF l.o_orderdate v ON l.o_custkey = v.o_custkey;"
+    e = engine(spark, sf, text)
+    assert "Join" not in plan(e.query("R")) and not any(c.startswith(("_valid", "v0")) or c == "v" for c in e.query("R").columns)
+    want = {"*": 12, "l.*, v.o_totalprice AS price": 7, "l.o_orderkey, v.*": 7, "l.o_orderkey, v.o_totalprice": 2}[select]
+    assert len(e.query("R").columns) == want and e.query("R").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_temporal_joins_of_scripts_can_cut_hot_keys_over_time(spark, sf):
+    text = "V := DISTINCT orders ON o_custkey ORDER BY o_orderdate DESC; R := SELECT l.o_orderkey, v.o_totalprice FROM orders l JOIN V FOR SYSTEM_TIME AS OF l.o_orderdate v ON l.o_custkey = v.o_custkey;"
+    rows = []
+    for bucket in (None, "30 day"):
+        e = Engine(spark, asof_bucket=bucket)
+        e.register("orders", spark.read.parquet(f"{sf}/orders.parquet"), TableType.STREAM, ["o_orderkey"], "o_orderdate")
+        df = e.run(text).query("R")
+        assert ("_b#" in plan(df)) == (bucket is not None)
+        rows.append(sorted(map(tuple, df.collect())))
+    assert rows[0] == rows[1]

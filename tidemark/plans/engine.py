@@ -86,13 +86,13 @@ class Engine:
 
     ``folders``: where IMPORT finds scripts and data. ``streaming``: sources are read as streams. ``tables``: frames
     that scripts can read by name. ``log_folder``: where rows given to `append` are kept (shared by all executors); without one, a new
-    folder beside the session's checkpoints. Definitions are views: nothing is computed before a query, an export or
+    folder beside the session's checkpoints. ``asof_bucket``: a duration by which temporal joins cut keys over time too, for keys with a large share of all rows. Definitions are views: nothing is computed before a query, an export or
     `materialize` asks for it, and Catalyst sees through all of them at once.
     """
 
-    def __init__(self, spark: SparkSession, folders: Sequence[str] = (".",), tables: Mapping[str, DataFrame] | None = None, streaming: bool = False, cost_model: str = "DEFAULT", goal: str = "run", log_folder: str | None = None):
+    def __init__(self, spark: SparkSession, folders: Sequence[str] = (".",), tables: Mapping[str, DataFrame] | None = None, streaming: bool = False, cost_model: str = "DEFAULT", goal: str = "run", log_folder: str | None = None, asof_bucket: str | None = None):
         self.spark, self.folders, self.streaming, self.cost_model, self.goal = spark, list(folders), streaming, cost_model, goal
-        self.log_folder = log_folder
+        self.log_folder, self.asof_bucket = log_folder, asof_bucket
         self.tables: dict[str, Table] = {}
         self.functions: dict[str, Function] = {}
         self.batches: list[list[tuple[str, Any]]] = [[]]
@@ -174,9 +174,28 @@ class Engine:
             needed = used | {b.lower() for _, b in keys} | {time.lower()}
             df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() in needed])
         name = f"_asof_{uuid.uuid4().hex}"
-        asof_join(self.table(left).df, df, keys, left_time, time, alias, how).createOrReplaceTempView(f"`{name}`")
+        asof_join(self.table(left).df, df, keys, left_time, time, alias, how, self.asof_bucket).createOrReplaceTempView(f"`{name}`")
         return name
 
+    def binned_view(self, table: str, column: str, low: int, high: int, width: int, name: str) -> str | None:
+        """A table with the column ``name``: a row for each bin, ``width`` seconds wide, that the time ``column`` + low to + high seconds touches.
+
+        None for streams, which keep their state by time anyway, and for columns that are no time.
+        """
+        try:
+            df = self.table(table).df
+        except ScriptError:
+            return None
+        kind = {c.lower(): k for c, k in df.dtypes}.get(column.lower())
+        if df.isStreaming or kind not in ("timestamp", "timestamp_ntz"):
+            return None
+        micros = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{column}`)" if kind == "timestamp_ntz" else f"unix_micros(`{column}`)"
+        first, last = (F.expr(f"floor(({micros} + {x * 1_000_000}) / {width * 1_000_000})") for x in (low, high))
+        view = f"_binned_{uuid.uuid4().hex}"
+        # a row without a time is in no bin; on the right side, which has low < high, it goes
+        df.withColumn(name, first if low == high == 0 else F.explode(F.sequence(first, last))).createOrReplaceTempView(f"`{view}`")
+        return view
+
     def table_function(self, name: str, args: list[str]) -> str | None:
         f = self.functions.get(name.lower())
         if f is None:
@@ -310,24 +329,26 @@ class Engine:
             self.spark.udf.register(name, f, returns) if returns else self.spark.udf.register(name, f)
 
     def _sql(self, body: list[Token], line: int) -> DataFrame:
-        """A query's frame; temporal joins by one sort where the query allows it, else by validity intervals."""
+        """A query's frame; temporal joins by one sort where the query allows it, else by validity intervals.
+
+        Interval joins are binned; `_plain_form` then is the query as it was said, for the analysis of types and keys.
+        """
         self._undeclared(body, [], line)
+        self._plain_form = None
         for linear in (True, False):
-            rewriter = Rewriter(self, linear and not self._bare_star(body))
+            rewriter = Rewriter(self, linear)
             try:
                 # the validity of versions is no column of theirs
-                return self.spark.sql(rewriter.query(body)).drop("_valid_from", "_valid_to")
+                df = self.spark.sql(rewriter.query(body)).drop("_valid_from", "_valid_to")
+                if rewriter.used_bins:
+                    self._plain_form = self.spark.sql(Rewriter(self, False).query(body)).drop("_valid_from", "_valid_to")
+                return df
             except AnalysisException as e:
-                if linear and rewriter.used_asof:
+                if linear and (rewriter.used_asof or rewriter.used_bins):
                     continue
                 raise ScriptError(str(e).split("\n")[0], line) from e
         raise AssertionError
 
-    @staticmethod
-    def _bare_star(body: list[Token]) -> bool:
-        words = significant(body)
-        return any(t.text == "*" and words[i - 1].upper in ("SELECT", ",") for i, t in enumerate(words) if i)
-
     @staticmethod
     def _undeclared(body: list[Token], declared: Sequence[str], line: int) -> None:
         words = significant(body)
@@ -355,7 +376,10 @@ class Engine:
 
     def _add_query(self, name: str, df: DataFrame, s: Definition, order: list[Order]) -> None:
         table = Table(name, df, hints=s.hints, doc=s.doc, order=order, statement=s, subscribe=s.subscribe)
-        table.analysis, table.primary_key, table.rowtime = Analyzer(self._known).analyze(df)
+        plain, self._plain_form = getattr(self, "_plain_form", None), None
+        if plain is not None and len(set(plain.columns)) < len(plain.columns):
+            plain = plain.toDF(*self._unique(plain.columns))
+        table.analysis, table.primary_key, table.rowtime = Analyzer(self._known).analyze(df if plain is None else plain)
         table.type = table.analysis.type
         text = " ".join(t.upper for t in significant(s.body))
         if "FOR SYSTEM_TIME AS OF" in text:
