@@ -216,11 +216,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
     # at most 2 * SAMPLE ids are broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    first: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"])):
-        first.setdefault(r["text"], r["toxic"])
-    return fit(list(first), list(first.values()))
+    first = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", "toxic")).alias("x"))
+    rows = sorted(first.select("x.doc_id", "text", "x.toxic").collect())
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 def tag(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataFrame:
