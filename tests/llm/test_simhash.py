@@ -112,6 +112,29 @@ def test_copies_that_resemble_each_other_less_than_their_original(spark):
     assert near_duplicates(df).filter("component_id = 0").count() >= 148
 
 
+def test_short_texts_and_chains(spark):
+    """Figures in the README: texts of a few shingles, and chains in which only neighbours are similar."""
+    rng = random.Random(8)
+    texts, later = [], []
+    for n in (9, 10, 11, 12, 14, 20, 40):
+        for _ in range(60):
+            words = [f"w{rng.randrange(20000)}" for _ in range(n)]
+            later.append(len(texts) + 1)
+            texts += [" ".join(words), " ".join(words[:-1])]
+    for _ in range(40):
+        words = [f"w{rng.randrange(20000)}" for _ in range(200)]
+        for k in range(6):
+            if k:
+                later.append(len(texts))
+            texts.append(" ".join(words))
+            words = edited(rng, words, 4).split()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in near_duplicates(df).collect()}
+    short = [i for i in later if len(texts[i].split()) < 12]
+    print(f"short texts {len(got & set(short)) / len(short):.3f}, all {len(got & set(later)) / len(later):.3f}")
+    assert got <= set(later) and set(short) <= got and len(got) >= 0.98 * len(later)
+
+
 def test_dense_groups_of_near_copies(spark):
     rng = random.Random(2)
     words = [f"w{rng.randrange(3000)}" for _ in range(300)]
