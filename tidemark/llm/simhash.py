@@ -331,10 +331,11 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def max_differing(similarity: float, bits: int = 64 * WIDE) -> int:
     """Bits that differ in a pair of the similarity at most, but for one pair in a hundred.
 
-    The angle between two texts' shingles gives the share of bits; with few shingles, where majorities are often tied, it
-    is up to a quarter more (five shingles and four of them at 0.8: 3 of 16 bits, where the angle gives 0.151).
+    The angle between two texts' shingles gives the share of bits. With very few shingles, where majorities are often
+    tied, it is up to a quarter more (five shingles and four of them at 0.8: 3 of 16 bits, where the angle gives 0.151);
+    these are found by their `set_keys`.
     """
-    p = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return math.floor(bits * p + 2.33 * math.sqrt(bits * p * (1 - p)))
 
 
