@@ -22,10 +22,11 @@ fingerprints. The number of bits grows with the logarithm of the documents, and
 number of tables follows, so that a pair at the similarity meets in some table but for one in
 a thousand. Texts of so few shingles that similar ones differ in a single shingle (up to eight at 0.8) are
 candidates by the hashes of their sets as well, since their fingerprints say little.
-Candidates are checked exactly, by their sets of shingles, in two rounds. In the first, of each
-group of candidates go on a spanning forest and every text's nearest partner. Where one of these fails,
-the second checks every candidate pair that the first has left in different components, so no
-candidate is dropped for another; dense groups that the first has joined cost nothing more.
+Candidates are checked exactly, by their sets of shingles. Of each group of candidates go on a
+spanning forest and every text's nearest partner. Where one of these fails, it may have kept out a pair that
+would have passed, so the texts of the components that it stands between are joined once more, exactly, by their rarest
+shingles (`rare_pairs`); groups of copies that are all in one component cost nothing more, and pairs are never
+listed for being in one group.
 
 Groups larger than `GROUP` rows are dealt out again as pairs of salted parts, each
 part against each, so no task holds an unbounded group and no pair is skipped.
@@ -57,8 +58,6 @@ LEAF = 48
 WIDE = 4
 #: Shingles in one Arrow batch, but for a longer text.
 SET_ROWS = 200_000
-#: Pairs of a dense group that a task holds before it sends them on.
-PAIRS = 200_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -136,12 +135,12 @@ class Forest:
                 self.link(i, j)
 
 
-def trie_pairs(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | None = None, limit: int = 0, sides: np.ndarray | None = None, labels: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+def trie_pairs(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | None = None, limit: int = 0, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """The links among sorted ``keys`` (uint64) in blocks: places, places, and how many bits of ``whole`` differ.
 
     Linked: at most ``budget`` of the low ``bits`` bits differ and, if ``whole`` (n x m uint64) is
     given, at most ``limit`` of its bits. With ``sides`` (booleans) only pairs across the sides
-    count, with ``labels`` only those of different labels.
+    count.
     """
 
     def leaf(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -150,8 +149,6 @@ def trie_pairs(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | Non
             near = np.triu(near, 1)
         if sides is not None:
             near &= sides[a, None] != sides[None, b]
-        if labels is not None:
-            near &= labels[a, None] != labels[None, b]
         x, y = np.nonzero(near)
         x, y = x + a.start, y + b.start
         if whole is None or not len(x):
@@ -201,10 +198,7 @@ def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | Non
 
 
 def group_links(bits: int, budget: int, limit: int = 0):
-    """A mapInArrow function: rows (key, lo, hi, part, node, proj[, whole[, label]]) sorted by the first three -> edges (a, b).
-
-    With labels it gives all pairs whose labels differ, else a spanning forest and the nearest partners.
-    """
+    """A mapInArrow function: rows (key, lo, hi, part, node, proj[, whole]) sorted by the first three -> edges (a, b), a spanning forest and the nearest partners."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -213,7 +207,6 @@ def group_links(bits: int, budget: int, limit: int = 0):
             key, lo, hi, part, node, proj = (table_.column(i).to_numpy() for i in range(6))
             proj = proj.view(np.uint64)
             whole = np.frombuffer(b"".join(table_.column(6).to_pylist()), np.uint64).reshape(len(key), -1) if table_.num_columns > 6 else None
-            label = table_.column(7).to_numpy() if table_.num_columns > 7 else None
             cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
             sizes = ends - starts
@@ -222,29 +215,15 @@ def group_links(bits: int, budget: int, limit: int = 0):
             near &= (lo[pairs] == hi[pairs]) | (part[pairs] != part[pairs + 1])
             if whole is not None:
                 near &= np.bitwise_count(whole[pairs] ^ whole[pairs + 1]).sum(axis=1, dtype=np.int64) <= limit
-            if label is not None:
-                near &= label[pairs] != label[pairs + 1]
-            a, b, held_pairs = [node[pairs[near]]], [node[pairs[near] + 1]], 0
+            a, b = [node[pairs[near]]], [node[pairs[near] + 1]]
             for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
                 order = s + np.argsort(proj[s:e], kind="stable")
                 given = proj[order], bits, budget, None if whole is None else whole[order], limit, part[order] != lo[s] if lo[s] != hi[s] else None
-                if label is not None:
-                    for x, y, _ in trie_pairs(*given, label[order]):
-                        a.append(node[order[x]])
-                        b.append(node[order[y]])
-                        held_pairs += len(x)
-                        if held_pairs >= PAIRS:
-                            yield edges(a, b)
-                            a, b, held_pairs = [], [], 0
-                elif found := trie_links(*given):
+                if found := trie_links(*given):
                     x, y = np.array(found).T
                     a.append(node[order[x]])
                     b.append(node[order[y]])
-            if a:
-                yield edges(a, b)
-
-        def edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
         rows = 0
         for batch in source:
@@ -266,7 +245,7 @@ def group_links(bits: int, budget: int, limit: int = 0):
 
 
 def linked(rows: DataFrame, bits: int, budget: int, limit: int = 0) -> DataFrame:
-    """Edges (a, b) among ``rows`` (key, node, proj[, whole[, label]]): a spanning forest of each key's links, or with labels all links of different labels."""
+    """Edges (a, b) among ``rows`` (key, node, proj[, whole]): a spanning forest of each key's links."""
     counts = table(rows.groupBy("key").count().filter(F.col("count") > GROUP))
     rest = [c for c in rows.columns if c not in ("key",)]
     if counts.isEmpty():
@@ -347,12 +326,8 @@ def tables_for(rows: int, similarity: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(0.001) / math.log(1 - meets))
 
 
-def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts' sets of shingles have the similarity. ``texts``: node and text, once each.
-
-    Only the texts that edges name are hashed again; a text that many edges name is a
-    hot key of a plain join, which adaptive execution splits.
-    """
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, s): each text's set of shingle hashes. ``texts``: node and text."""
 
     def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
@@ -367,15 +342,48 @@ def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float)
         if held:
             yield record_batch(held, schema)
 
+    return texts.select("node", "text").mapInArrow(sets, "node long, s array<long>")
+
+
+def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts' sets of shingles have the similarity. ``texts``: node and text, once each.
+
+    Only the texts that edges name are hashed again; a text that many edges name is a
+    hot key of a plain join, which adaptive execution splits.
+    """
     named = table(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct())
-    own = texts.join(small(named, 16), "node", "left_semi").mapInArrow(sets, "node long, s array<long>")
-    own = table(own)
+    own = table(shingle_sets(texts.join(small(named, 16), "node", "left_semi"), words))
     met = edges.join(own.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     # texts without words are equal
     return met.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def rare_pairs(open_: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels that can have the similarity, all that do among them. ``open_``: node and label.
+
+    Two sets of the similarity have in common one of each one's rarest shingles, as many as it may lack and one more. What a
+    group of copies shares is frequent in it, so copies that resemble each other just too little, which differ in their
+    rarest shingles, meet nowhere; shingles of a single label are left out before rows meet.
+    """
+    sets = table(shingle_sets(texts.join(open_, "node", "left_semi"), words))
+    each = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("c"))
+    ranked = each.join(counts, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("r"))
+    least = F.ceil(F.col("n") * F.lit(similarity) - 1e-9)
+    rarest = ranked.select("node", "n", F.posexplode(F.slice("r", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("at", "x")).select("node", "n", "at", F.col("x.h").alias("h"), F.col("x.c").alias("c"))
+    own = table(rarest.filter("c > 1").drop("c").join(open_, "node"))
+    shared = own.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
+    own = own.join(shared, "h")
+    x = own.select("h", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "label")])
+    y = own.select("h", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "label")])
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("n_x") + F.col("n_y")) - 1e-9
+    # no more than what follows in both orders can still be common
+    possible = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= needed
+    met = x.join(y, "h").filter((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & possible)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def unjoined(candidates: DataFrame, found: DataFrame) -> DataFrame:
     """(node, label) of the nodes in components (node, component) between which a candidate pair has failed, a written table.
 
@@ -419,19 +427,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                         value = proj >> cuts[i] & (1 << (cuts[i + 1] - cuts[i])) - 1
                         yield pa.RecordBatch.from_arrays([pa.array((3 * t + i) << 24 | value), part.column(0), pa.array(proj), *part.columns[1:]], ["key", "node", "proj", *part.schema.names[1:]])
 
-    def met(some: DataFrame, ddl: str = "") -> DataFrame:
-        rows = some.mapInArrow(projected, f"key long, node long, proj long, whole binary{ddl}")
-        return linked(rows, bits, 2, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
     texts = known.withColumnRenamed("doc_id", "node")
     # texts of few shingles: one is the other without one of its shingles
     more_by_one = nodes.select(F.col("node").alias("x"), F.explode("less").alias("own")).join(nodes.filter("own IS NOT NULL").select(F.col("node").alias("y"), "own"), "own").filter("x <> y")
-    candidates = table(met(nodes.select("node", "whole")).union(more_by_one.select(F.least("x", "y"), F.greatest("x", "y"))).distinct())
+    rows = nodes.select("node", "whole").mapInArrow(projected, "key long, node long, proj long, whole binary")
+    candidates = table(linked(rows, bits, 2, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(more_by_one.select(F.least("x", "y"), F.greatest("x", "y"))).distinct())
     edges = table(verified(candidates, texts, words, similarity))
     found = components(edges)
     left = unjoined(candidates, found)
     if not left.isEmpty():  # a candidate has failed: what its place has kept out is checked now
-        more = table(met(nodes.join(left, "node").select("node", "whole", "label"), ", label long").join(candidates, ["a", "b"], "left_anti"))
+        more = table(rare_pairs(left, texts, words, similarity).join(candidates, ["a", "b"], "left_anti"))
         found = components(edges.union(verified(more, texts, words, similarity)))
     copies = fps.join(nodes, "whole").select("doc_id", "node")
     placed = copies.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
