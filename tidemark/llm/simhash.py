@@ -22,8 +22,8 @@ fingerprints. The number of bits grows with the logarithm of the documents, and
 number of tables follows, so that a pair at the similarity meets in some table but for one in
 a thousand. Texts of so few shingles that similar ones differ in a single shingle (up to eight at 0.8) are
 candidates by the hashes of their sets as well, since their fingerprints say little.
-Candidates are checked exactly, by their sets of shingles. Of each group of candidates go on a
-spanning forest and every text's nearest partner. Where one of these fails, it may have kept out a pair that
+Candidates are checked exactly, by their sets of shingles. Of each group of candidates goes on a
+spanning forest in which every text has its first partner. Where one of these pairs fails, it may have kept out a pair that
 would have passed, so the texts of the components that it stands between are joined once more, exactly, by their rarest
 shingles (`rare_pairs`); groups of copies that are all in one component cost nothing more, and pairs are never
 listed for being in one group.
@@ -181,24 +181,32 @@ def trie_pairs(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | Non
                     stack.append((left[i], right[j], bit - 1, differ + (i != j)))
 
 
-def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | None = None, limit: int = 0, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of places, of the links of `trie_pairs`; with ``whole`` each key's nearest partner is among the pairs too."""
+def trie_links(keys: np.ndarray, bits: int, budget: int, whole: np.ndarray | None = None, limit: int = 0, sides: np.ndarray | None = None, names: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of places, of the links of `trie_pairs`.
+
+    With ``names``, unlike numbers, each key is first paired with its partner of the smallest name, and what is needed to span is
+    added. So groups that share keys name the same pairs, and all of them together name few.
+    """
     forest = Forest(len(keys))
-    nearest = np.full(len(keys), np.iinfo(np.int64).max)  # distance and place of the best partner so far
-    for x, y, differ in trie_pairs(keys, bits, budget, whole, limit, sides):
-        if differ is not None:
-            np.minimum.at(nearest, x, differ << 32 | y)
-            np.minimum.at(nearest, y, differ << 32 | x)
+    order = np.argsort(names) if names is not None else None
+    rank = np.argsort(order) if names is not None else None
+    partner = np.full(len(keys), len(keys))
+    for x, y, _ in trie_pairs(keys, bits, budget, whole, limit, sides):
+        if rank is not None:
+            np.minimum.at(partner, x, rank[y])
+            np.minimum.at(partner, y, rank[x])
         forest.link_all(x, y)
-    if whole is None:
+    if names is None:
         return forest.edges
-    partner = nearest & 0xFFFFFFFF
-    own = [(i, int(partner[i])) for i in np.flatnonzero(nearest != np.iinfo(np.int64).max).tolist()]
-    return sorted({(min(e), max(e)) for e in [*forest.edges, *own]})
+    paired, own = Forest(len(keys)), np.flatnonzero(partner < len(keys))
+    first = [(min(e), max(e)) for e in zip(own.tolist(), order[partner[own]].tolist(), strict=True)]
+    for e in [*first, *forest.edges]:
+        paired.link(*e)
+    return sorted({*first, *paired.edges})
 
 
 def group_links(bits: int, budget: int, limit: int = 0):
-    """A mapInArrow function: rows (key, lo, hi, part, node, proj[, whole]) sorted by the first three -> edges (a, b), a spanning forest and the nearest partners."""
+    """A mapInArrow function: rows (key, lo, hi, part, node, proj[, whole]) sorted by the first three -> edges (a, b), a spanning forest of each group's links."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -218,7 +226,7 @@ def group_links(bits: int, budget: int, limit: int = 0):
             a, b = [node[pairs[near]]], [node[pairs[near] + 1]]
             for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
                 order = s + np.argsort(proj[s:e], kind="stable")
-                given = proj[order], bits, budget, None if whole is None else whole[order], limit, part[order] != lo[s] if lo[s] != hi[s] else None
+                given = proj[order], bits, budget, None if whole is None else whole[order], limit, part[order] != lo[s] if lo[s] != hi[s] else None, None if whole is None else node[order]
                 if found := trie_links(*given):
                     x, y = np.array(found).T
                     a.append(node[order[x]])
