@@ -4,12 +4,13 @@ import re
 
 import pytest
 
-from tidemark.plans.catalog import QUERIES, engine
+from tidemark.plans.catalog import engine
+from tidemark.plans.catalog_more import QUERIES
 from tidemark.plans.engine import Engine
 from tidemark.plans.table_type import TableType
 
 #: Queries that need Python by nature.
-PYTHON = {"match_recognize", "fn_distributions", "vector_nearest"}
+PYTHON = {"match_recognize", "fn_distributions", "vector_nearest", "user_function"}
 
 
 def plan(df):
