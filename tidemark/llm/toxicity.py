@@ -91,7 +91,7 @@ def marking(docs: list[tuple[list[str], int]]) -> set[str]:
     known: dict[str, list[str]] = {}
     for words, toxic in docs:
         own = set(words)
-        known.update((w, [f for f in features(w) if f[0] != "s"]) for w in own - known.keys())
+        known.update((w, [f for f in features(w) if f[0] != "s"]) for w in own if w not in known)
         seen[toxic].update({f for w in own for f in known[w]})
     n = [sum(1 for _, t in docs if t == k) for k in (0, 1)]
     bar = 2 * math.log(max(2, len(seen[0] | seen[1]))) + 8
