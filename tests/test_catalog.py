@@ -34,6 +34,16 @@ def test_query_matches_sql(spark, sf, duck, name):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("name", ["lateral_subquery"])
+def test_limits_by_key_match_sql_where_keys_repeat(spark, sf, tmp_path, name):
+    con = duckdb.connect()
+    for t, copies in (("customer", 2), ("orders", 3)):
+        con.execute(f"COPY (SELECT x.* FROM '{sf}/{t}.parquet' x, range({copies}) r) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    got = QUERIES[name](spark, str(tmp_path)).select("c_custkey", "o_orderkey").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT c_custkey, o_orderkey FROM ({ORACLE_SQL[name]})").fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_give_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
