@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, sf, duck, name):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["lateral_subquery"])
+@pytest.mark.parametrize("name", ["lateral_subquery", "relationship_topk"])
 def test_limits_by_key_match_sql_where_keys_repeat(spark, sf, tmp_path, name):
     con = duckdb.connect()
     for t, copies in (("customer", 2), ("orders", 3)):
