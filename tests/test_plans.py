@@ -108,3 +108,37 @@ def test_temporal_joins_of_scripts_can_cut_hot_keys_over_time(spark, sf):
         assert ("_b#" in plan(df)) == (bucket is not None)
         rows.append(sorted(map(tuple, df.collect())))
     assert rows[0] == rows[1]
+
+
+@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT a.id, b.id AS other FROM a JOIN b ON b.x > a.x AND b.x < a.x + 40",
+        "SELECT * FROM a LEFT JOIN b ON b.x BETWEEN a.x - 0.5 AND a.x + 2",
+        "SELECT a.*, b.d FROM b JOIN a ON a.n + 3 >= b.n AND a.n - 2 < b.n WHERE a.id > 5",
+        "SELECT a.id, b.id AS other FROM a LEFT JOIN b ON a.d - 0.25 <= b.d AND a.d + 0.25 >= b.d AND a.id % 7 = b.id % 7",
+        "SELECT a.id, b.id AS other FROM a JOIN b ON b.x >= a.x AND b.x <= a.x + 0.1",
+    ],
+)
+def test_joins_by_a_range_of_numbers_are_binned_and_give_the_same(spark, monkeypatch, query, spread):
+    from tidemark.plans import engine as module
+
+    monkeypatch.setattr(module, "SPREAD", 0 if spread else 1 << 40)
+    rows = spark.sql("SELECT id, CAST(pmod(id * 7919, 2003) AS DOUBLE) / 10 AS x, pmod(id * 31, 97) AS n, CAST(pmod(id, 50) AS DECIMAL(9, 2)) / 4 AS d FROM range(300)")
+    odd = spark.sql("SELECT id, x, n, d FROM VALUES (1000L, double('NaN'), null, null), (1001L, double('Infinity'), 9223372036854775L, null), (1002L, null, -9L, 1.25), (1003L, 1e17D, 0L, -0.25), (1004L, -1e300D, 9223372036854776L, 0.0) AS t(id, x, n, d)")
+    a, b = rows.union(odd), rows.filter("id % 3 = 0").union(odd)
+    a.createOrReplaceTempView("a")
+    b.createOrReplaceTempView("b")
+    e = Engine(spark, tables={"a": a, "b": b}).run(f"R := {query};")
+    text = plan(e.query("R"))
+    assert re.search(r"\[.*_bin_\d+_\d+_l", text) and not re.search("NestedLoop|Cartesian", text)
+    assert ("REPARTITION_BY_NUM" in text) == (spread and "%" not in query)
+    want = spark.sql(query)
+    got = sorted(str(tuple(r)) for r in e.query("R").collect())  # as text, since NaN is not itself
+    assert got == sorted(str(tuple(r)) for r in want.collect()) and len(got) > 100
+
+
+def test_the_range_join_of_the_catalogue_compares_no_pairs_of_tables(spark, sf):
+    text = plan(QUERIES["join_range"](spark, sf))
+    assert "_bin_" in text and not re.search("NestedLoop|Cartesian", text)
