@@ -142,3 +142,32 @@ def test_joins_by_a_range_of_numbers_are_binned_and_give_the_same(spark, monkeyp
 def test_the_range_join_of_the_catalogue_compares_no_pairs_of_tables(spark, sf):
     text = plan(QUERIES["join_range"](spark, sf))
     assert "_bin_" in text and not re.search("NestedLoop|Cartesian", text)
+
+
+@pytest.mark.parametrize(
+    ("query", "dealt"),
+    [
+        ("SELECT x.id, y.id AS other FROM (SELECT id, k FROM a WHERE id <> 3) x FULL JOIN b AS y ON x.k = y.k", True),
+        ("SELECT y.*, x.id AS other FROM b y FULL OUTER JOIN a x ON y.k = x.k AND y.m = x.m WHERE x.id IS NULL OR x.id > 5", True),
+        ("SELECT y.k, count(*) AS n, count(x.id) AS xs FROM b y FULL JOIN (SELECT * FROM a) x ON y.k = x.k GROUP BY y.k", True),
+        ("SELECT * FROM a x FULL JOIN b y ON x.k = y.k", False),
+        ("SELECT x.id, y.id AS other FROM a x FULL JOIN b y ON x.k = y.k AND x.id < y.id", False),
+        ("SELECT x.id, y.id AS other FROM (SELECT id, k FROM a ORDER BY id LIMIT 50) x FULL JOIN b y ON x.k = y.k", False),
+    ],
+)
+def test_full_joins_deal_out_large_keys_and_give_the_same(spark, monkeypatch, query, dealt):
+    from tidemark.operators import joins
+    from tidemark.plans import engine as module
+
+    monkeypatch.setattr(module, "SPREAD", 0)
+    monkeypatch.setattr(joins, "HEAVY", 10)
+    a = spark.sql("SELECT id, IF(id % 10 = 0, null, IF(id < 200, 1, CAST(id % 7 AS INT))) AS k, id % 2 AS m FROM range(300) UNION ALL SELECT 7L, 99, 0L")
+    b = spark.sql("SELECT id, IF(id % 9 = 0, null, IF(id < 20, 1L, id % 11)) AS k, id % 2 AS m FROM range(60)")
+    a.createOrReplaceTempView("a")
+    b.createOrReplaceTempView("b")
+    e = Engine(spark, tables={"a": a, "b": b}).run(f"R := {query};")
+    text = plan(e.query("R"))
+    assert ("REPARTITION_BY_NUM" in text) == dealt and ("FullOuter" in text) != dealt
+    want = spark.sql(query)
+    assert e.query("R").columns == e._unique(want.columns)
+    assert sorted(map(tuple, e.query("R").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
