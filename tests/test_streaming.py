@@ -1,5 +1,7 @@
 """Streams give what the batch forms give: events are replayed as files in order of time."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,33 @@ def test_changelog_counts_up(spark, replay, tmp_path):
     assert sum(1 for r in got if r[2] == "+I") == len(kinds)
 
 
+@pytest.mark.parametrize(("run_rows", "block"), [(10**6, 40), (100, 7), (64, 1000), (1, 1)])
+def test_rows_in_order_hold_a_bounded_part(run_rows, block):
+    rng = np.random.default_rng(5)
+    n = 60 if run_rows == 1 else 1000
+    df = pd.DataFrame({"t": pd.to_datetime(rng.integers(0, 90, n), unit="s"), "v": np.arange(n)})
+    df.loc[::17, "t"] = pd.NaT
+    given = (df.iloc[i : i + 37] for i in range(0, n, 37))
+    got = list(state.in_order(given, "t", run_rows, block))
+    assert max(map(len, got)) <= block
+    assert pd.concat(got)["v"].tolist() == df.sort_values("t", kind="stable")["v"].tolist()
+    assert list(state.in_order([], "t")) == []
+
+
+def test_changelog_of_many_rows_of_a_key_comes_in_order(spark, replay, tmp_path, monkeypatch):
+    frames = []
+    monkeypatch.setattr(state, "RUN", 50)
+    monkeypatch.setattr(state, "BLOCK", 20)
+    seen = replay[1].selectExpr("event_type", "value", "ts").toPandas()
+    for kind, rows in seen.groupby("event_type"):
+        frames = list(state.in_order([rows[["value", "ts"]]], "ts"))
+        assert len(frames) >= len(rows) // 20 and pd.concat(frames)["ts"].is_monotonic_increasing
+    got = run(state.changelog(stream(spark, replay).select("event_type", "value", "ts"), "event_type", "value", "ts"), "append", "cl2", tmp_path)
+    last = {k: max((n, total) for key, _, _, n, total in got if key == k) for k in {r[0] for r in got}}
+    want = {r["event_type"]: (r["n"], r["s"]) for r in replay[1].groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s")).collect()}
+    assert {k: n for k, (n, _) in last.items()} == {k: n for k, (n, _) in want.items()} and all(abs(last[k][1] - want[k][1]) < 1e-6 * abs(want[k][1]) for k in want)
+
+
 def test_first_per_key(spark, replay, tmp_path):
     got = run(windows.first_per_key(stream(spark, replay), ["user_id"]).select("user_id"), "append", "fk", tmp_path)
     assert len(got) == replay[1].select("user_id").distinct().count()
