@@ -231,6 +231,33 @@ def test_nearest_each_matches_all_pairs(spark):
     assert nearest_each(df, df.limit(0), "id", "v", 5).count() == 0
 
 
+def test_the_best_of_a_task_are_kept_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidemark.operators import vectors
+
+    rng = np.random.default_rng(8)
+    rows = np.round(rng.normal(size=(20_000, 8)), 1)
+    rows[5_000:5_400] = rows[:400]  # copies in other slices: as similar, so the smaller id comes first
+    ids = rng.permutation(len(rows)).astype(np.int64)
+    wanted = vectors._units(pa.array(rows[:512].tolist(), pa.list_(pa.float64())), 8)
+    batch = pa.array(rows.tolist(), pa.list_(pa.float64()))
+    tracemalloc.start()
+    found = vectors._Best(wanted, 5)
+    for start in range(0, len(rows), vectors.SLICE):
+        found.add(ids[start : start + vectors.SLICE], vectors._units(batch.slice(start, vectors.SLICE), 8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # all products at once are 82 MB
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for q in range(0, 512, 37):
+        sims = (unit @ wanted[q]).round(12)
+        want = np.lexsort((ids, -sims))[:5]
+        assert found.ids[q].tolist() == ids[want].tolist() and np.allclose(found.sims[q], sims[want])
+
+
 def jdbc(name, table, **more):
     return Connector({"connector": "jdbc", "url": f"jdbc:derby:memory:{name};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "table-name": table} | {k.replace("_", "-").replace("--", "."): v for k, v in more.items()})
 

@@ -7,6 +7,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,39 +41,72 @@ def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, ties: st
     return df.withColumn("similarity", similarity(vector, query)).orderBy(F.desc("similarity"), ties).limit(k)
 
 
-def _units(vectors: list[list[float]], dim: int) -> np.ndarray:
-    """Rows scaled to length 1; vectors of another dimension and zero vectors have no similarity."""
+def _units(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Rows scaled to length 1; vectors of another dimension or with a null, and zero vectors, have no similarity."""
     out = np.full((len(vectors), dim), np.nan)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            out[i] = v
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    fits = np.flatnonzero(sizes == dim)
+    if len(fits) and dim:
+        flat = vectors.take(pa.array(fits)).flatten()
+        out[fits] = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(fits), dim)
     with np.errstate(invalid="ignore", divide="ignore"):
         return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
+#: Rows that are held against a block of queries at once.
+SLICE = 1024
+
+
+class _Best:
+    """The best ``k`` rows of each query so far; of equal ones those with the smallest ids."""
+
+    def __init__(self, wanted: np.ndarray, k: int):
+        self.wanted, self.k = wanted, k
+        self.sims, self.ids = np.full((len(wanted), k), -np.inf), np.full((len(wanted), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, units: np.ndarray) -> None:
+        """Products of matrices find the candidates; each is then computed alone, so that equal vectors are equally similar wherever they lie."""
+        rough = np.nan_to_num(self.wanted @ units.T, nan=-np.inf, copy=False)
+        least = np.maximum(self.sims.min(1), np.partition(rough, len(ids) - min(self.k, len(ids)), axis=1)[:, len(ids) - min(self.k, len(ids))] if len(ids) >= self.k else -np.inf)
+        with np.errstate(invalid="ignore"):
+            q, at = np.nonzero((rough >= (least - 1e-9)[:, None]) & (rough > -np.inf))
+        for start in range(0, len(q), 65536):
+            self._merge(q[start : start + 65536], at[start : start + 65536], ids, units)
+
+    def _merge(self, q: np.ndarray, at: np.ndarray, ids: np.ndarray, units: np.ndarray) -> None:
+        sims = (self.wanted[q] * units[at]).sum(1)
+        asked = np.unique(q)
+        every_q = np.concatenate([np.repeat(asked, self.k), q])
+        every_s, every_i = np.concatenate([self.sims[asked].ravel(), sims]), np.concatenate([self.ids[asked].ravel(), ids[at]])
+        order = np.lexsort((every_i, -every_s, every_q))
+        first = np.searchsorted(every_q[order], asked)
+        best = order[first[:, None] + np.arange(self.k)]
+        self.sims[asked], self.ids[asked] = every_s[best], every_i[best]
+
+
 def nearest_each(df: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, block: int = 1024) -> DataFrame:
     """(query, id, similarity, place): for each row of ``queries`` the ``k`` rows of ``df`` most similar by cosine, exactly; equal ones by id.
 
-    Queries are held against all rows in blocks of ``block``, which bounds what is sent to executors at once; of each
-    Arrow batch only a query's best ``k`` leave the task (and those as good as the last), and the rest is a top-k by query.
+    Queries are held against all rows in blocks of ``block``, which bounds what is sent to executors at once, and a task holds
+    a block against `SLICE` rows at a time. Only a query's best ``k`` leave a task, and the rest is a top-k by query.
     """
     rows = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     ddl = "query long, id long, similarity double"
     found = None
     for part in batched(queries.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").toLocalIterator(), block):
         dim = len(part[0]["v"])
-        sent = df.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in part]), _units([r["v"] for r in part], dim)))
+        sent = df.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in part]), _units(pa.array([r["v"] for r in part], pa.list_(pa.float64())), dim)))
 
         def best(source: Iterator[pa.RecordBatch], sent=sent, dim=dim) -> Iterator[pa.RecordBatch]:
             names, wanted = sent.value
+            found = _Best(wanted, k)
             for batch in source:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy()
-                sims = np.nan_to_num(wanted @ _units(batch.column(1).to_pylist(), dim).T, nan=-np.inf)
-                least = -np.partition(-sims, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                q, at = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
-                yield pa.RecordBatch.from_pydict({"query": pa.array(names[q]), "id": pa.array(ids[at]), "similarity": pa.array(sims[q, at])})
+                for start in range(0, batch.num_rows, SLICE):
+                    piece = batch.slice(start, SLICE)
+                    found.add(piece.column(0).to_numpy(), _units(piece.column(1), dim))
+            for start in range(0, len(names), SLICE):
+                q, at = np.nonzero(found.sims[start : start + SLICE] > -np.inf)
+                yield pa.RecordBatch.from_pydict({"query": pa.array(names[start + q]), "id": pa.array(found.ids[start + q, at]), "similarity": pa.array(found.sims[start + q, at])})
 
         some = rows.mapInArrow(best, ddl)
         found = some if found is None else found.union(some)
